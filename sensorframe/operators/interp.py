@@ -13,6 +13,7 @@ from sensorframe.functions.geometry import slerp
 from sensorframe.operators.asof import asof_join, bracket_join
 from sensorframe.operators.ordered import Series, chunked, floor_div, prev_next, running_sum
 from sensorframe.operators.quantiles import attach, exact_medians
+from sensorframe.session import stage
 
 
 def interpolate_strict(left: DataFrame, source: DataFrame, s: Series, cols: Sequence[str], max_gap_ns: int, source_tie: str | None = None) -> DataFrame:
@@ -157,7 +158,8 @@ def forward_window_mean(df: DataFrame, s: Series, value: Column, width_ns: int)
         base, inner,
         {"_sx": F.coalesce("_x", F.lit(0.0)), "_nx": F.when(F.col("_x").isNotNull(), 1).otherwise(0).cast("bigint"),
          "_nr": F.lit(1).cast("bigint")},
-    ).drop("_b")
+    )
+    sums = stage(sums.drop("_b"))
     total = sums.groupBy(*cells).agg(
         F.sum(F.coalesce("_x", F.lit(0.0))).alias("_tx"), F.count("_x").alias("_tn"), F.count("*").alias("_tr")
     )
@@ -185,6 +187,7 @@ def forward_window_mean(df: DataFrame, s: Series, value: Column, width_ns: int)
 def best_window(df: DataFrame, s: Series, error: Column, value: Column, width_ns: int = 1_000_000_000) -> DataFrame:
     """Per key the first window of least mean error with two rows or more, and value mean/std inside it."""
     rows = forward_window_mean(df, s, error, width_ns)
+    rows = stage(rows)
     ok = rows.where((F.col("n") >= 2) & F.col("mean").isNotNull())
     best = ok.groupBy(*s.keys).agg(
         F.min_by(F.struct(F.col(s.ts).alias("start_ns"), F.col("last_ts").alias("end_ns"), F.col("mean").alias("error")),
@@ -215,7 +218,7 @@ def display_duration(df: DataFrame, s: Series, out: str = "duration_s") -> DataF
 def sampling_rate(df: DataFrame, s: Series) -> DataFrame:
     """``rate_mean`` (1e9 / mean step, 30 when not positive) and ``rate_median`` (1e9 / median step)."""
     steps = prev_next(df.select(*s.keys, *s.order), s, [s.ts], "_p").where(F.col("_p").isNotNull())
-    steps = steps.withColumn("dt", F.col(s.ts) - F.col(f"_p.{s.ts}"))
+    steps = stage(steps.select(*s.keys, (F.col(s.ts) - F.col(f"_p.{s.ts}")).alias("dt")))
     mean = steps.groupBy(*s.keys).agg(F.avg("dt").alias("_m"))
     med = exact_medians(steps, s.keys, {"_q": F.col("dt")})
     out = attach(mean, med, s.keys)

@@ -7,17 +7,32 @@ from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from sensorframe.operators.asof import asof_join, bracket_join
-from sensorframe.operators.ordered import Series, chunked, floor_div, number_rows, prev_next, running_sum
+from sensorframe.operators.ordered import (
+    Series, bucketed, carry, chunked, floor_div, join_summary, number_rows, prev_next, running_sum,
+)
 from sensorframe.operators.quantiles import attach
+from sensorframe.session import stage
 
 
 def gap_sequences(df: DataFrame, s: Series, gap_ns: int, out: str = "seq") -> DataFrame:
-    """Zero-based sequence id; a new sequence starts where the step exceeds ``gap_ns``."""
-    step = prev_next(df, s, [s.ts], prev="_pv")
-    new = F.when(F.abs(F.col(s.ts) - F.col(f"_pv.{s.ts}")) > gap_ns, 1).otherwise(0).cast("bigint")
-    return running_sum(step, s, {out: new}).drop("_pv", "_b")
+    """Zero-based sequence id; a new sequence starts where the step exceeds ``gap_ns``.
+
+    One pass: breaks are counted inside a bucket, and its first and last time tell whether its border is a break.
+    """
+    rows = bucketed(df, s)
+    t = F.col(s.ts)
+    flagged = rows.withColumn("_brk", F.when(t - F.lag(t).over(s.inner()) > gap_ns, 1).otherwise(0).cast("bigint"))
+    local = flagged.withColumn("_in", F.sum("_brk").over(s.inner().rowsBetween(W.unboundedPreceding, 0)))
+    per = flagged.groupBy(*s.part).agg(F.min(t).alias("_t0"), F.max(t).alias("_t1"), F.sum("_brk").alias("_nb"))
+    border = F.when(F.col("_t0") - F.lag("_t1").over(s.outer()) > gap_ns, 1).otherwise(0).cast("bigint")
+    per = per.withColumn("_edge", border)
+    before = F.coalesce(F.sum("_nb").over(s.outer().rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    upto = F.sum("_edge").over(s.outer().rowsBetween(W.unboundedPreceding, 0))
+    summary = per.select(*s.part, (before + upto).alias("_off"))
+    return join_summary(local, summary, s).select(*df.columns, (F.col("_in") + F.col("_off")).alias(out))
 
 
 def min_length(df: DataFrame, group: Sequence[str], n: int) -> DataFrame:
@@ -28,7 +43,7 @@ def min_length(df: DataFrame, group: Sequence[str], n: int) -> DataFrame:
 
 def sequence_index(df: DataFrame, s: Series, seq: str = "seq") -> DataFrame:
     """``global_idx`` over the kept rows, ``local_idx`` within a sequence, ``in_contact`` 0 on the first row."""
-    out = number_rows(df, s, "global_idx").drop("_b")
+    out = stage(number_rows(df, s, "global_idx").drop("_b"))
     start = out.groupBy(*s.keys, seq).agg(F.min("global_idx").alias("_g0"))
     out = attach(out, start, [*s.keys, seq]).withColumn("local_idx", F.col("global_idx") - F.col("_g0"))
     return out.drop("_g0").withColumn("in_contact", F.when(F.col("local_idx") == 0, 0).otherwise(1))
@@ -41,8 +56,6 @@ def stride_pairs(
     """Pairs ``(t, t + stride)`` inside a sequence with a label time and a dense sample index per key."""
     inside = replace(s, keys=[*s.keys, seq])
     parts = chunked(df.select(*inside.keys, *s.order), inside, 0, stride, rows)
-    from pyspark.sql import Window as W
-
     w = W.partitionBy(*inside.keys, "_chunk").orderBy("rn")
     pairs = (
         parts.withColumn("later", F.lead(s.ts, stride).over(w))
@@ -51,7 +64,7 @@ def stride_pairs(
     )
     early, late = F.col(s.ts), F.col("later")
     label = {"earlier": early, "later": late, "midpoint": floor_div(early + late, 2)}[stamp]
-    return number_rows(pairs.withColumn("label_ts", label), s, "sample_idx").drop("_b")
+    return number_rows(stage(pairs.withColumn("label_ts", label)), s, "sample_idx").drop("_b")
 
 
 def detection_blocks(df: DataFrame, s: Series, eps_ns: int, min_samples: int = 2) -> DataFrame:
@@ -64,7 +77,7 @@ def detection_blocks(df: DataFrame, s: Series, eps_ns: int, min_samples: int = 2
     if min_samples <= 2:
         seq = gap_sequences(df.select(*s.keys, *s.order), s, eps_ns, "_c")
     else:
-        pos = number_rows(df.select(*s.keys, *s.order), s, "_i").drop("_b")
+        pos = stage(number_rows(df.select(*s.keys, *s.order), s, "_i").drop("_b"))
         probe = replace(s, tie=())
         ref = pos.select(*s.keys, s.ts, F.col("_i").alias("_j"))
         lo = asof_join(
@@ -72,11 +85,13 @@ def detection_blocks(df: DataFrame, s: Series, eps_ns: int, min_samples: int = 2
             direction="forward", right_ts=s.ts, right_tie="_j",
         ).withColumnRenamed("_j", "_from")
         hi = asof_join(
-            lo.withColumn("_edge", F.col(s.ts) + eps_ns), ref, replace(probe, ts="_edge"), ["_j"],
+            stage(lo).withColumn("_edge", F.col(s.ts) + eps_ns), ref, replace(probe, ts="_edge"), ["_j"],
             direction="backward", right_ts=s.ts, right_tie="_j",
         )
-        core = hi.withColumn("_core", F.col("_j") - F.col("_from") + 1 >= min_samples).drop("_edge", "_from", "_j")
-        linked = gap_sequences(core.where("_core").drop("_core", "_i"), s, eps_ns, "_c")
+        core = stage(
+            hi.withColumn("_core", F.col("_j") - F.col("_from") + 1 >= min_samples).drop("_edge", "_from", "_j")
+        )
+        linked = stage(gap_sequences(core.where("_core").drop("_core", "_i"), s, eps_ns, "_c"))
         rest = core.where("not _core").drop("_core", "_i")
         near = bracket_join(rest, linked, probe, ["_c"], right_tie="_c")
         reach = F.when(F.col(s.ts) - F.col("prev.ts") <= eps_ns, F.col("prev._c")).when(
@@ -111,6 +126,7 @@ def interaction_windows(
     ``frames_extent`` has the keys with ``first_ns`` and ``last_ns``. A window keeps the number of its gap, so
     numbers have holes where short gaps were dropped.
     """
+    blocks = stage(blocks)
     ends = (
         blocks.groupBy(*s.keys)
         .agg(F.count("*").alias("_nb"), F.min("start_ns").alias("_b0"), F.max("end_ns").alias("_b1"))
@@ -124,7 +140,7 @@ def interaction_windows(
         .join(ends.select(*s.keys), list(s.keys), "left_semi")
         .select(*s.keys, F.lit(1).alias("_part"), "start_ns", "end_ns")
     )
-    every = number_rows(head.unionByName(mid).unionByName(tail), replace(s, ts="start_ns", tie=("_part",)), "_i")
+    every = number_rows(stage(head.unionByName(mid).unionByName(tail)), replace(s, ts="start_ns", tie=("_part",)), "_i")
     return (
         every.withColumn("duration_s", (F.col("end_ns") - F.col("start_ns")) / F.lit(1e9))
         .where(F.col("duration_s") >= min_s)
@@ -146,17 +162,15 @@ def source_precedence(candidates: DataFrame, group: Sequence[str], source: str,
 
 def disjoint_windows(windows: DataFrame, s: Series, start: str = "start_ns", end: str = "end_ns") -> DataFrame:
     """Union of overlapping closed windows per key as disjoint ones."""
-    from sensorframe.operators.ordered import carry
-
     base = windows.groupBy(*s.keys, start).agg(F.max(end).alias(end))
     ser = replace(s, ts=start, tie=())
     # Running maximum of the ends: a +1/-1 sweep keeps it a sum, which passes bucket borders exactly.
     ups = base.select(*s.keys, F.col(start).alias("t"), F.lit(1).cast("bigint").alias("d"))
     downs = base.select(*s.keys, (F.col(end) + 1).alias("t"), F.lit(-1).cast("bigint").alias("d"))
     steps = ups.unionByName(downs).groupBy(*s.keys, "t").agg(F.sum("d").alias("d"))
-    depth = running_sum(steps, replace(ser, ts="t"), {"depth": F.col("d")})
+    depth = running_sum(stage(steps), replace(ser, ts="t"), {"depth": F.col("d")})
     was = F.col("depth") - F.col("d")
-    edges = depth.where((was == 0) != (F.col("depth") == 0)).drop("_b")
+    edges = stage(depth.where((was == 0) != (F.col("depth") == 0)).drop("_b"))
     opened = carry(
         edges, replace(ser, ts="t"), F.when(F.col("depth") > 0, F.col("t")), last=start
     )
@@ -165,7 +179,7 @@ def disjoint_windows(windows: DataFrame, s: Series, start: str = "start_ns", end
 
 def in_any_window(df: DataFrame, windows: DataFrame, s: Series, start: str = "start_ns", end: str = "end_ns") -> DataFrame:
     """J9 (any): rows inside at least one closed window, each once, by one backward as-of join."""
-    merged = disjoint_windows(windows, s, start, end).withColumnRenamed(end, "_we")
+    merged = stage(disjoint_windows(windows, s, start, end)).withColumnRenamed(end, "_we")
     hit = asof_join(df, merged, s, ["_we"], direction="backward", right_ts=start)
     return hit.where(F.col(s.ts) <= F.col("_we")).drop("_we")
 
@@ -202,7 +216,7 @@ def anchor_segments(df: DataFrame, anchors: DataFrame, s: Series, width_ns: int
     nxt = nxt.select(
         *s.keys, F.col(s.ts).alias("_a"), F.col(f"_na.{s.ts}").alias("_to"), F.col(f"_pa.{s.ts}").alias("_from")
     )
-    hit = asof_join(df, nxt, ser, ["_to", "_from"], direction="backward", right_ts="_a", matched_ts="_at")
+    hit = stage(asof_join(df, stage(nxt), ser, ["_to", "_from"], direction="backward", right_ts="_a", matched_ts="_at"))
     opened = hit.where(F.col("_to").isNotNull()).select(
         *df.columns, F.col("_at").alias("segment_start"), F.col("_to").alias("segment_end")
     )

@@ -92,7 +92,7 @@ def ensure_buckets(df: DataFrame, s: Series) -> DataFrame:
     return df if "_b" in df.columns else bucketed(df, s)
 
 
-def _join_summary(rows: DataFrame, summary: DataFrame, s: Series) -> DataFrame:
+def join_summary(rows: DataFrame, summary: DataFrame, s: Series) -> DataFrame:
     """Attach the per-bucket summary; null keys match each other."""
     renamed = summary.select(
         *[F.col(k).alias(f"_k{i}") for i, k in enumerate(s.part)],
@@ -117,7 +117,7 @@ def running_sum(df: DataFrame, s: Series, sums: dict[str, Column]) -> DataFrame:
         .agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in names])
         .select(*s.part, *[F.sum(f"_s_{n}").over(before).alias(f"_p_{n}") for n in names])
     )
-    joined = _join_summary(local, summary, s)
+    joined = join_summary(local, summary, s)
     zero = F.lit(0)
     return joined.select(
         *df.columns,
@@ -151,7 +151,7 @@ def prev_next(df: DataFrame, s: Series, cols: Sequence[str], prev: str | None =
         aggs.append(F.min_by(row, by).alias("_first"))
         picks.append(F.lead("_first").over(s.outer()).alias("_x_next"))
     summary = df.groupBy(*s.part).agg(*aggs).select(*s.part, *picks)
-    out = _join_summary(df.select("*", *news), summary, s)
+    out = join_summary(df.select("*", *news), summary, s)
     cols_out = list(df.columns)
     result = []
     if prev:
@@ -184,7 +184,7 @@ def carry(df: DataFrame, s: Series, value: Column, last: str | None = None, foll
         after = W.partitionBy(*s.keys).orderBy(F.col("_b").desc()).rowsBetween(W.unboundedPreceding, -1)
         picks.append(F.last("_lo", ignorenulls=True).over(after).alias("_x_next"))
     summary = work.groupBy(*s.part).agg(*aggs).select(*s.part, *picks)
-    out = _join_summary(work.select("*", *news), summary, s)
+    out = join_summary(work.select("*", *news), summary, s)
     result = []
     if last:
         result.append(F.coalesce("_in_last", "_x_last").alias(last))
@@ -222,9 +222,4 @@ def rolling(df: DataFrame, s: Series, before: int, after: int, exprs, rows: int
     """Row-frame columns: ``exprs(window)`` gets a chunk window ordered by ``rn`` and returns aliased columns."""
     parts = chunked(df, s, before, after, rows)
     window = W.partitionBy(*s.keys, "_chunk").orderBy("rn")
-    base = [c for c in parts.columns if c not in ("_chunk", "_halo")]
-    return parts.select("*", *exprs(window)).where(~F.col("_halo")).drop("_chunk", "_halo").select(*base, *_new(parts, exprs(window)))
-
-
-def _new(parts: DataFrame, cols: Sequence[Column]) -> list[str]:
-    return parts.select(*cols).columns
+    return parts.select("*", *exprs(window)).where(~F.col("_halo")).drop("_chunk", "_halo")

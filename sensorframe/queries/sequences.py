@@ -7,8 +7,9 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from sensorframe.operators import interp, intervals
-from sensorframe.operators.asof import asof_chain, asof_join, bracket_join, sync_all
+from sensorframe.operators.asof import asof_join, asof_many, bracket_join, sync_all
 from sensorframe.operators.ordered import DAY_NS, Series, number_rows, prev_next
+from sensorframe.session import stage
 from sensorframe.queries.registry import (
     HOUR_NS, MIN_NS, REC, RIG, SAMPLES, ns, query, r6, rig, samples, table, topic,
 )
@@ -80,7 +81,7 @@ def chain(spark, sf):
         return _side(spark, sf, name, prefix).select("rig", "ts", f"{prefix}_id")
 
     left = rig(topic(spark, sf, "click")).select("rig", "event_id", "ts")
-    out = asof_chain(
+    out = asof_many(
         left,
         [
             (side("view", "depth"), ["depth_id"], 30 * MIN_NS, True),
@@ -185,7 +186,7 @@ def _sequences(spark, sf):
 
 
 def _kept(spark, sf):
-    return intervals.min_length(_sequences(spark, sf), ["recorder", "seq"], 4)
+    return stage(intervals.min_length(stage(_sequences(spark, sf)), ["recorder", "seq"], 4))
 
 
 @query("gap_sequences", _SEQ + " SELECT event_id, recorder, seq FROM q")
@@ -215,7 +216,7 @@ def stride_pairs(spark, sf):
     return out.select("recorder", "seq", "ts", "later", "label_ts", "sample_idx")
 
 
-EPS = 10 * MIN_NS
+EPS = 2 * HOUR_NS
 _BLOCKS = f"""WITH {SAMPLES}, g AS (SELECT recorder % 8 AS source, ts,
  CASE WHEN ts - lag(ts) OVER (PARTITION BY recorder % 8 ORDER BY ts) > {EPS} THEN 1 ELSE 0 END AS brk FROM samples WHERE topic='click'),
 q AS (SELECT source, ts, sum(brk) OVER (PARTITION BY source ORDER BY ts) AS c FROM g),
