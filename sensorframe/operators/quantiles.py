@@ -1,8 +1,8 @@
 """Exact quantiles of groups of any size.
 
-The built-in ``percentile`` keeps every distinct value of a group in one buffer. Here a group's values are spread
-over narrow value bins around an approximate quantile; a histogram of the bins tells which bins hold the wanted
-ranks, and only the values of those bins are sorted.
+The built-in ``percentile`` keeps every distinct value of a group in one buffer, so it serves only when a count shows
+that every group is small. Otherwise a group's values are spread over narrow value bins around an approximate
+quantile; a histogram of the bins tells which bins hold the wanted ranks, and only the values of those are sorted.
 """
 
 from __future__ import annotations
@@ -13,6 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from sensorframe.session import stage
+
+# Largest group whose values may sit in one aggregation buffer.
+BOUNDED_ROWS = 20_000
 # Bins per e-fold of distance from the approximate quantile.
 _BINS = 256.0
 
@@ -31,7 +35,9 @@ def _keys_match(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> Column:
     return cond
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], wanted: dict[str, tuple[Column, float]]) -> DataFrame:
+def exact_quantiles(
+    df: DataFrame, keys: Sequence[str], wanted: dict[str, tuple[Column, float]], bounded_rows: int = BOUNDED_ROWS
+) -> DataFrame:
     """One row per group with linearly interpolated quantiles, as ``percentile`` gives them.
 
     ``wanted`` maps an output name to ``(value, probability)``; null values are ignored, groups without any value
@@ -40,8 +46,14 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], wanted: dict[str, tuple[
     names = list(wanted)
     if not keys:
         keyed = df.withColumn("_all", F.lit(0))
-        return exact_quantiles(keyed, ["_all"], wanted).drop("_all")
+        return exact_quantiles(keyed, ["_all"], wanted, bounded_rows).drop("_all")
     base = df.select(*keys, *[v.alias(f"_v{i}") for i, (v, _) in enumerate(wanted.values())])
+    largest = base.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+    if largest <= bounded_rows:
+        return base.groupBy(*keys).agg(
+            *[F.percentile(f"_v{i}", float(wanted[n][1])).alias(n) for i, n in enumerate(names)]
+        )
+    base = stage(base, "quantiles")
     heads = base.groupBy(*keys).agg(
         *[F.count(f"_v{i}").alias(f"_n{i}") for i in range(len(names))],
         *[

@@ -75,9 +75,15 @@ def test_exact_quantiles(spark):
     pdf["v"] = rng.lognormal(0, 3, n) * np.where(rng.random(n) < 0.5, -1, 1)
     pdf["w"] = 1.7e18 + rng.integers(0, 10_000_000, n) * 256.0
     pdf.loc[pdf.k == 3, "v"] = 2.5
+    for bounded in (0, 10_000):
+        check_quantiles(spark, pdf, bounded)
+
+
+def check_quantiles(spark, pdf, bounded):
     out = exact_quantiles(
         spark.createDataFrame(pdf), ["k"],
         {"med": (F.col("v"), 0.5), "p95": (F.col("v"), 0.95), "w": (F.col("w") - F.lit(1.7e18), 0.5)},
+        bounded_rows=bounded,
     ).toPandas().set_index("k").sort_index()
     g = pdf.groupby("k")
     np.testing.assert_allclose(out.med, g.v.median(), rtol=1e-12)
