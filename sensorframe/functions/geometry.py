@@ -136,17 +136,18 @@ def compose(ma: Vec, ta: Vec, mb: Vec, tb: Vec) -> tuple[list[Column], list[Colu
     return m, transform(ma, ta, tb)
 
 
-def slerp(a: Vec, b: Vec, w: Column) -> list[Column]:
-    """Unit quaternion at ``w`` between ``a`` and ``b`` on the shorter arc; linear when nearly parallel."""
-    qa, qb = unit(a), unit(b)
-    d = dot(qa, qb)
+def slerp_weights(d: Column, w: Column) -> tuple[Column, Column]:
+    """Factors of two unit quaternions with product ``d`` at ``w`` on the shorter arc; linear when parallel.
+
+    Take ``d`` from a column computed one step earlier, so that it is not worked out again at each use.
+    """
     sign = F.when(d < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
     theta = F.acos(F.least(F.abs(d), F.lit(1.0)))
     st = F.sin(theta)
     flat = st < 1e-8
     ka = F.when(flat, F.lit(1.0) - w).otherwise(F.sin((F.lit(1.0) - w) * theta) / st)
     kb = F.when(flat, w).otherwise(F.sin(w * theta) / st)
-    return unit([ka * x + kb * sign * y for x, y in zip(qa, qb)])
+    return ka, sign * kb
 
 
 def project(k: Vec, p: Vec) -> list[Column]:

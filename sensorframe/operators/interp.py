@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from sensorframe.functions.geometry import slerp
+from sensorframe.functions.geometry import dot, slerp_weights, unit
 from sensorframe.operators.asof import asof_join, bracket_join
 from sensorframe.operators.ordered import Series, chunked, floor_div, prev_next, running_sum
 from sensorframe.operators.quantiles import attach, exact_medians
@@ -61,9 +61,19 @@ def interpolate_pose(left: DataFrame, poses: DataFrame, s: Series, *, clamp: boo
     w = F.when(span == 0, F.lit(0.0)).otherwise((F.col(s.ts) - F.col("_a.ts")) / span)
     rows = rows.withColumn("_w", w)
     t = [((F.lit(1.0) - F.col("_w")) * F.col(f"_a.{c}") + F.col("_w") * F.col(f"_z.{c}")).alias(c) for c in names[:3]]
-    q = slerp([F.col(f"_a.{c}") for c in names[3:]], [F.col(f"_z.{c}") for c in names[3:]], F.col("_w"))
-    rows = rows.withColumn("_q", F.struct(*[x.alias(c) for x, c in zip(q, names[3:])]))
-    return rows.select(*left.columns, *t, *[F.col(f"_q.{c}").alias(c) for c in names[3:]])
+    keep = [*left.columns, *names[:3]]
+    qn = names[3:]
+    rows = rows.select(
+        *left.columns, *t, "_w",
+        *[x.alias(f"_a{i}") for i, x in enumerate(unit([F.col(f"_a.{c}") for c in qn]))],
+        *[x.alias(f"_z{i}") for i, x in enumerate(unit([F.col(f"_z.{c}") for c in qn]))],
+    )
+    a, z = [F.col(f"_a{i}") for i in range(4)], [F.col(f"_z{i}") for i in range(4)]
+    rows = rows.withColumn("_d", dot(a, z))
+    ka, kb = slerp_weights(F.col("_d"), F.col("_w"))
+    rows = rows.withColumn("_ka", ka).withColumn("_kb", kb)
+    rows = rows.select(*keep, *[(F.col("_ka") * x + F.col("_kb") * y).alias(f"_q{i}") for i, (x, y) in enumerate(zip(a, z))])
+    return rows.select(*keep, *[x.alias(c) for x, c in zip(unit([F.col(f"_q{i}") for i in range(4)]), qn)])
 
 
 def uniform_times(extents: DataFrame, start: str, end: str, rate_hz: float, out: str = "ts") -> DataFrame:
