@@ -143,19 +143,20 @@ def rate_cap(df: DataFrame, s: Series, max_fps: float, rows: int = 200_000) -> D
     per key chains the chunks, and each chunk then picks its rows.
     """
     step = int(1e9 / max_fps)
+    ts, keys, names = s.ts, list(s.keys), df.columns  # plain values only: the functions below run in tasks
     parts = stage(chunked(df, s, 0, 0, rows).drop("_halo"))
     key_fields = [parts.schema[k] for k in s.keys]
     ends = T.StructType(key_fields + [T.StructField(c, T.LongType()) for c in ("_chunk", "_t", "_rn", "_exit")])
 
     def exits(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rn")
-        t, rn = pdf[s.ts].to_numpy("int64"), pdf["rn"].to_numpy("int64")
+        t, rn = pdf[ts].to_numpy("int64"), pdf["rn"].to_numpy("int64")
         nxt = np.searchsorted(t, t + step)
         last = np.empty(len(t), dtype="int64")
         for i in range(len(t) - 1, -1, -1):
             last[i] = last[nxt[i]] if nxt[i] < len(t) else t[i]
         n = min(int(np.searchsorted(t, t[0] + step)) + 1, len(t))
-        out = pd.DataFrame({k: pdf[k].iloc[0] for k in s.keys}, index=range(n))
+        out = pd.DataFrame({k: pdf[k].iloc[0] for k in keys}, index=range(n))
         return out.assign(_chunk=pdf["_chunk"].iloc[0], _t=t[:n], _rn=rn[:n], _exit=last[:n])
 
     starts = T.StructType(key_fields + [T.StructField(c, T.LongType()) for c in ("_chunk", "_start")])
@@ -167,19 +168,19 @@ def rate_cap(df: DataFrame, s: Series, max_fps: float, rows: int = 200_000) -> D
             if len(ok):
                 found.append((chunk, ok["_rn"].iloc[0]))
                 last = ok["_exit"].iloc[0]
-        out = pd.DataFrame({k: pdf[k].iloc[0] for k in s.keys}, index=range(len(found)))
+        out = pd.DataFrame({k: pdf[k].iloc[0] for k in keys}, index=range(len(found)))
         return out.assign(_chunk=[f[0] for f in found], _start=[f[1] for f in found])
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rn").reset_index(drop=True)
-        t = pdf[s.ts].to_numpy("int64")
+        t = pdf[ts].to_numpy("int64")
         nxt = np.searchsorted(t, t + step)
         i = int(pdf["_start"].iloc[0] - pdf["rn"].iloc[0])
         kept = []
         while i < len(t):
             kept.append(i)
             i = int(nxt[i])
-        return pdf.loc[kept, df.columns]
+        return pdf.loc[kept, names]
 
     group = [*s.keys, "_chunk"]
     heads = parts.groupBy(*group).applyInPandas(exits, ends)

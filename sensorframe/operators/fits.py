@@ -65,8 +65,14 @@ def least_squares(df: DataFrame, keys: Sequence[str], params: Sequence[str], equ
 
 
 def residuals(equations: Sequence[Equation]) -> list[Column]:
-    """Right-hand side minus model for each equation, on rows that carry the parameters as columns."""
-    return [rhs - reduce(add, [c * F.col(p) for p, c in coef.items()], F.lit(0.0)) for coef, rhs in equations]
+    """Right-hand side minus model for each equation, on rows from ``with_params``."""
+    return [rhs - reduce(add, [c * F.col(f"_th_{p}") for p, c in coef.items()], F.lit(0.0)) for coef, rhs in equations]
+
+
+def with_params(df: DataFrame, theta: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows with the parameters of their group, under names that cannot meet the rows' own."""
+    side = theta.select(*keys, *[F.col(c).alias(f"_th_{c}") for c in theta.columns if c not in keys])
+    return attach(df, side, keys)
 
 
 def soft_l1(df: DataFrame, keys: Sequence[str], params: Sequence[str], equations: Sequence[Equation], *, rounds: int = 60, tol: float = 1e-10) -> DataFrame:
@@ -78,7 +84,7 @@ def soft_l1(df: DataFrame, keys: Sequence[str], params: Sequence[str], equations
     df = stage(df)
     theta = stage(least_squares(df, keys, params, equations, ridge=1e-12))
     for _ in range(rounds):
-        rows = attach(df, theta, keys)
+        rows = with_params(df, theta, keys)
         weights = [F.lit(1.0) / F.sqrt(F.lit(1.0) + r * r) for r in residuals(equations)]
         new = stage(least_squares(rows, keys, params, equations, ridge=1e-12, weights=weights))
         old = theta.select(*keys, *[F.col(p).alias(f"_o_{p}") for p in params])
@@ -135,12 +141,11 @@ def tool_params_static(df: DataFrame, keys: Sequence[str], force: Vec, torque: V
         eqs.append((coef, rhs))
     theta = stage(least_squares(df, keys, params, eqs, ridge=1e-6))
     res = residuals(eqs)
-    rms = attach(df, theta, keys) if keys else df.crossJoin(F.broadcast(theta))
-    rms = rms.groupBy(*keys).agg(
+    rms = with_params(df, theta, keys).groupBy(*keys).agg(
         F.sqrt(F.avg(reduce(add, [r * r for r in res[:3]]))).alias("rmsF"),
         F.sqrt(F.avg(reduce(add, [r * r for r in res[3:]]))).alias("rmsT"),
     )
-    out = attach(theta, rms, keys) if keys else theta.crossJoin(rms)
+    out = attach(theta, rms, keys)
     m = F.lit(mass) if mass is not None else F.col("m")
     if cog is not None:
         c = [F.lit(float(x)) for x in cog]
@@ -192,8 +197,9 @@ def tool_params_dynamic(
     """
     df = stage(df)
     params = [*F0, *TAU0, *INERTIA]
-    c = df.select(*keys).distinct().select(*keys, *[F.lit(float(v)).alias(n) for v, n in zip(cog, COG)])
-    cols = [F.col(n) for n in COG]
+    at = [f"_{n}" for n in COG]
+    c = df.select(*keys).distinct().select(*keys, *[F.lit(float(v)).alias(n) for v, n in zip(cog, at)])
+    cols = [F.col(n) for n in at]
     for _ in range(outer_rounds if fit_cog else 1):
         rows = stage(attach(df, c, keys))
         eqs = _dynamic_equations(force, torque, g_s, acc, omega, alpha, mass, cols, gyro, torque_weight)
@@ -204,11 +210,11 @@ def tool_params_dynamic(
         if not fit_cog:
             break
         moved = attach(c, theta, keys)
-        c = stage(moved.select(*keys, *[(F.col(n) + F.col(f"d{n}")).alias(n) for n in COG]))
+        c = stage(moved.select(*keys, *[(F.col(a) + F.col(f"d{n}")).alias(a) for a, n in zip(at, COG)]))
         step = theta.agg(F.max(F.greatest(*[F.abs(F.col(f"d{n}")) for n in COG])).alias("m")).first()["m"]
         if step is None or step < 1e-10:
             break
-    rows = attach(attach(df, c, keys), theta.select(*keys, *params), keys)
+    rows = with_params(attach(df, c, keys), theta.select(*keys, *params), keys)
     eqs = _dynamic_equations(force, torque, g_s, acc, omega, alpha, mass, cols, gyro, 1.0)
     res = residuals(eqs)
     rms = rows.groupBy(*keys).agg(
@@ -216,7 +222,7 @@ def tool_params_dynamic(
         F.sqrt(F.avg(reduce(add, [r * r for r in res[3:]]))).alias("rmsT"),
         F.count("*").alias("n"),
     )
-    out = attach(attach(theta.select(*keys, *params), c, keys), rms, keys)
+    out = attach(attach(theta.select(*keys, *params), c.withColumnsRenamed(dict(zip(at, COG))), keys), rms, keys)
     # Leading minors decide positive definiteness of a symmetric matrix.
     xx, yy, zz, xy, xz, yz = [F.col(p) for p in INERTIA]
     det = xx * (yy * zz - yz * yz) - xy * (xy * zz - yz * xz) + xz * (xy * yz - yy * xz)
