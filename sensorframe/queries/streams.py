@@ -1 +1,88 @@
+"""Streams over ``events`` as a file source, run to the end of the data; only closed windows are reported."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sensorframe.queries.registry import HOUR_NS, MIN_NS, SAMPLES, ns, query, r6, table
+from sensorframe.session import scratch_path
+from sensorframe.streaming import live
+
+
+def _stream(spark, sf):
+    schema = table(spark, sf, "events").schema
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    return raw.select(
+        "event_id", ns("ts").alias("ts"), F.col("ts").cast("timestamp").alias("event_time"), F.col("event_type").alias("topic"), F.col("user_id").alias("recorder"), "value"
+    )
+
+
+# The watermark is the highest time less the delay, in whole milliseconds.
+_WM = f"wm AS (SELECT (max(epoch_ms(ts)) - 600000)*1000000 AS wm FROM events)"
+
+
+@query("stream_sessions", f"""WITH {SAMPLES}, {_WM}, g AS (SELECT topic, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY topic ORDER BY ts) > {10 * MIN_NS} THEN 1 ELSE 0 END AS brk FROM samples),
+q AS (SELECT topic, ts, sum(brk) OVER (PARTITION BY topic ORDER BY ts) AS c FROM g)
+SELECT topic, min(ts) AS start_ns, max(ts) AS end_ns, count(*) AS n FROM q, wm GROUP BY topic, c, wm HAVING count(*) >= 2 AND max(ts) + {10 * MIN_NS} + 1000 <= wm""")
+def stream_sessions(spark, sf):
+    return live.run_available(live.detection_sessions(_stream(spark, sf), ["topic"], 10 * MIN_NS, "10 minutes"), "sessions")
+
+
+@query("stream_rate", f"""WITH {SAMPLES}, {_WM}, b AS (SELECT topic, ts - ts % {HOUR_NS} AS window_ns, count(*) AS n FROM samples GROUP BY 1, 2)
+SELECT topic, window_ns, n, round(n*1e3/3600, 6)+0.0 AS rate FROM b, wm WHERE window_ns + {HOUR_NS} <= wm""")
+def stream_rate(spark, sf):
+    out = live.run_available(live.topic_rate(_stream(spark, sf), ["topic"], HOUR_NS, "10 minutes"), "rate")
+    return out.select("topic", "window_ns", "n", r6(F.col("rate_hz") * 1e3).alias("rate"))
+
+
+@query("stream_sliding", f"""WITH {SAMPLES}, {_WM}, b AS (SELECT topic, value, unnest([ts - ts % {HOUR_NS // 2}, ts - ts % {HOUR_NS // 2} - {HOUR_NS // 2}]) AS window_ns FROM samples)
+SELECT topic, window_ns, round(avg(value), 6)+0.0 AS mean, count(*) AS n FROM b, wm WHERE window_ns + {HOUR_NS} <= wm GROUP BY 1, 2""")
+def stream_sliding(spark, sf):
+    out = live.run_available(live.sliding_mean(_stream(spark, sf), ["topic"], F.col("value"), HOUR_NS, HOUR_NS // 2, "10 minutes"), "sliding")
+    return out.select("topic", "window_ns", r6("mean").alias("mean"), "n")
+
+
+@query("stream_unique", f"WITH {SAMPLES} SELECT DISTINCT recorder, ts - ts % {HOUR_NS} AS qr_ts FROM samples")
+def stream_unique(spark, sf):
+    rows = _stream(spark, sf).withColumn("qr_ts", F.col("ts") - F.col("ts") % F.lit(HOUR_NS).cast("bigint"))
+    return live.run_available(live.unique_detections(rows, ["recorder", "qr_ts"], "40 days"), "unique").select("recorder", "qr_ts")
+
+
+@query("stream_join", f"""WITH {SAMPLES}, {_WM}, l AS (SELECT event_id, ts FROM samples WHERE topic='click'), r AS (SELECT ts AS r_ts, value AS load FROM samples WHERE topic='error'),
+j AS (SELECT event_id, ts, r_ts, load, row_number() OVER (PARTITION BY event_id ORDER BY abs(r_ts-ts), r_ts) AS k FROM l JOIN r ON r_ts BETWEEN ts - {10 * MIN_NS} AND ts + {10 * MIN_NS})
+SELECT event_id, ts, r_ts, load FROM j, wm WHERE k = 1 AND ts + 1000000000 <= wm - {12 * MIN_NS}""")
+def stream_join(spark, sf):
+    every = _stream(spark, sf).withColumn("rig", F.lit(0))
+    left, right = every.where("topic = 'click'"), _stream(spark, sf).withColumn("rig", F.lit(0)).where("topic = 'error'").withColumnRenamed("value", "load")
+    out = live.run_available(live.tolerance_join(left, right, ["rig"], "event_id", ["load"], 10 * MIN_NS, "10 minutes"), "join")
+    # The two topics end at different times; rows next to the end depend on which side holds the watermark back.
+    top = table(spark, sf, "events").agg((F.max(F.unix_millis(F.col("ts").cast("timestamp"))) * F.lit(1000000).cast("bigint") - F.lit(22 * MIN_NS)).alias("wm"))
+    return out.crossJoin(F.broadcast(top)).where(F.col("ts") + F.lit(1_000_000_000) <= F.col("wm")).select("event_id", "ts", "r_ts", "load")
+
+
+@query("stream_trigger", f"""WITH {SAMPLES}, c AS (SELECT recorder, ts, least(greatest(value, 0), 80) AS v FROM samples)
+SELECT recorder, ts, round(sum(v) OVER (PARTITION BY recorder ORDER BY ts ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)/3, 6)+0.0 AS smooth FROM c""")
+def stream_trigger(spark, sf):
+    out = live.run_available(live.smoothed_trigger(_stream(spark, sf), "recorder", "value"), "trigger")
+    return out.select("recorder", "ts", r6("smooth").alias("smooth"))
+
+
+@query("stream_offsets", f"""WITH {SAMPLES}, d AS (SELECT topic, ts AS qr, ts - CAST(round(value*100) AS BIGINT) AS dv FROM samples), o AS (SELECT topic, qr - dv AS off FROM d),
+m AS (SELECT topic, count(*) AS n_pairs, CAST(trunc(quantile_cont(off, 0.5)) AS BIGINT) AS med FROM o GROUP BY topic), e AS (SELECT o.topic, off, abs(off-med) AS dev FROM o JOIN m USING (topic)),
+q AS (SELECT topic, CAST(trunc(quantile_cont(dev, 0.5)) AS BIGINT) AS mad FROM e GROUP BY topic), i AS (SELECT e.topic, CAST(trunc(quantile_cont(off, 0.5)) AS BIGINT) AS fine FROM e JOIN q USING (topic) WHERE dev <= 3.5*mad GROUP BY 1)
+SELECT topic, n_pairs, fine AS offset_ns FROM m JOIN i USING (topic)""")
+def stream_offsets(spark, sf):
+    rows = _stream(spark, sf).select("topic", (F.col("ts") - F.round(F.col("value") * 100).cast("bigint")).alias("device_ts"), F.col("ts").alias("qr_ts"))
+    store, result = scratch_path(spark, "seen"), scratch_path(spark, "offsets")
+    live.run_writer(live.running_offsets(rows, ["topic"], store, result), spark, "offsets")
+    out = spark.read.parquet(result)
+    last = out.agg(F.max("batch").alias("_b"))
+    return out.crossJoin(F.broadcast(last)).where(F.col("batch") == F.col("_b")).select("topic", "n_pairs", "offset_ns")
+
+
+@query("stream_late_rows", f"WITH {SAMPLES} SELECT event_id, ts FROM samples")
+def stream_late_rows(spark, sf):
+    # One file is one trigger, so nothing is late here; a unit test covers late rows.
+    main, late, marks = (scratch_path(spark, n) for n in ("main", "late", "marks"))
+    live.run_writer(live.split_late(_stream(spark, sf), main, late, marks, 10 * MIN_NS), spark, "late")
+    return spark.read.parquet(main).select("event_id", "ts")
