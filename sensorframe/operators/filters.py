@@ -15,19 +15,57 @@ from sensorframe.operators.quantiles import attach
 from sensorframe.session import stage
 
 
+def _group_starts(pdf: pd.DataFrame, group: Sequence[str]) -> np.ndarray:
+    new = np.zeros(len(pdf), dtype=bool)
+    new[0] = True
+    for c in group:
+        v = pdf[c]
+        same = (v == v.shift()) | (v.isna() & v.shift().isna())
+        new[1:] |= ~same.to_numpy(dtype=bool)[1:]
+    return np.flatnonzero(new)
+
+
 def _chunk_apply(parts: DataFrame, s: Series, fn, out_cols: Sequence[str]) -> DataFrame:
-    """Run ``fn(frame sorted by rn)`` per chunk; it returns an array per output column for all its rows."""
-    keep = [f for f in parts.schema.fields if f.name not in ("_chunk", "_halo", "_n", "_fs")]
+    """Run ``fn(frame in rn order)`` per chunk; it returns an array per output column for all its rows.
+
+    Chunks of one partition follow each other in its batches, so many short series cost one call, and a task holds
+    one chunk and one batch at most.
+    """
+    keep = [f for f in parts.schema.fields if f.name not in ("_chunk", "_halo", "_n")]
     schema = T.StructType(keep + [T.StructField(c, T.DoubleType()) for c in out_cols])
     names = [f.name for f in keep]
+    group = [*s.keys, "_chunk"]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rn").reset_index(drop=True)
-        for c, values in zip(out_cols, fn(pdf)):
-            pdf[c] = values
-        return pdf.loc[~pdf["_halo"], names + list(out_cols)]
-
-    return parts.groupBy(*s.keys, "_chunk").applyInPandas(run, schema)
+    def finish(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        out = np.full((len(out_cols), len(pdf)), np.nan)
+        for a, z in zip(starts, [*starts[1:], len(pdf)]):
+            for i, values in enumerate(fn(pdf.iloc[a:z])):
+                out[i, a:z] = values
+        res = pdf[names].copy()
+        for i, c in enumerate(out_cols):
+            res[c] = out[i]
+        return res[~pdf["_halo"].to_numpy(dtype=bool)]
+
+    def run(batches):
+        held: list[pd.DataFrame] = []
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            edge = pd.concat([held[-1].iloc[-1:], pdf], ignore_index=True) if held else pdf
+            if held and len(_group_starts(edge, group)) == 1:
+                held.append(pdf)
+                continue
+            whole = pd.concat([*held, pdf], ignore_index=True)
+            starts = _group_starts(whole, group)
+            if len(starts) > 1:
+                yield finish(whole.iloc[: starts[-1]], starts[:-1])
+            held = [whole.iloc[starts[-1]:]]
+        if held:
+            whole = pd.concat(held, ignore_index=True)
+            yield finish(whole, np.array([0]))
+
+    ready = parts.repartition(*group).sortWithinPartitions(*group, "rn")
+    return ready.mapInPandas(run, schema)
 
 
 def _with_length(df: DataFrame, s: Series) -> DataFrame:

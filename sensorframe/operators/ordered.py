@@ -17,13 +17,17 @@ from pyspark.sql import Window as W
 
 HOUR_NS = 3_600_000_000_000
 DAY_NS = 24 * HOUR_NS
-# A cell keeps at most this many narrower cells, so that (cell, sub-cell) packs into one BIGINT.
-_SUB_LIMIT = 1 << 20
+# Most full cells of one level that are broadcast.
+HOT_CELLS = 100_000
 
 
 @dataclass(frozen=True)
 class Series:
-    """How rows of a table form time series: key columns, ns time column, tie-breakers at equal time."""
+    """How rows of a table form time series: key columns, ns time column, tie-breakers at equal time.
+
+    Keys and time are never null. ``cell_ns`` should hold a comfortable number of rows at the usual rate; fuller cells
+    are cut by themselves.
+    """
 
     keys: Sequence[str]
     ts: str = "ts"
@@ -58,34 +62,39 @@ def floor_div(col: Column, width: int | Column) -> Column:
 
 
 def bucketed(df: DataFrame, s: Series) -> DataFrame:
-    """Add ``_b``: an order-preserving bucket of at most about ``target_rows`` rows per key.
+    """Add ``_b``, the start time of the row's bucket: at most ``target_rows`` rows of one key share a bucket.
 
-    The row counts per cell come from one map-side combined aggregate; only the cells that are too full are joined
-    back, so the joined table is empty for evenly filled series.
+    Buckets start as cells of ``cell_ns`` (rounded up to a power of two). Map-side combined counts find the cells
+    that are too full, and those are cut into 64 narrower ones until none is; only rows at one and the same time
+    stay together. The counts run at once, so evenly filled series, the usual case, need no join. Up to ``HOT_CELLS``
+    full cells per level are broadcast, more are joined by key.
     """
-    cell = floor_div(F.col(s.ts), s.cell_ns)
-    full = (
-        df.groupBy(*s.keys, cell.alias("_cell"))
-        .agg(F.count("*").alias("_n"))
-        .where(F.col("_n") > s.target_rows)
-        .select(
-            *[F.col(k).alias(f"_k{i}") for i, k in enumerate(s.keys)],
-            F.col("_cell").alias("_fc"),
-            F.greatest(
-                F.lit(1).cast("bigint"),
-                F.lit(s.cell_ns // _SUB_LIMIT + 1).cast("bigint"),
-                F.floor(F.lit(float(s.cell_ns)) * s.target_rows / (F.col("_n") * 4)).cast("bigint"),
-            ).alias("_sw"),
-        )
-    )
-    rows = df.withColumn("_cell", cell)
-    cond = F.col("_cell") == F.col("_fc")
-    for i, k in enumerate(s.keys):
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    within = F.col(s.ts) - F.col("_cell") * F.lit(s.cell_ns).cast("bigint")
-    sub = F.coalesce(F.call_function("div", within, F.col("_sw")), F.lit(0).cast("bigint"))
-    out = rows.join(full, cond, "left").withColumn("_b", F.col("_cell") * F.lit(_SUB_LIMIT).cast("bigint") + sub)
-    return out.drop("_cell", "_fc", "_sw", *[f"_k{i}" for i in range(len(s.keys))])
+    bits = (s.cell_ns - 1).bit_length()
+    ts = F.col(s.ts).cast("bigint")
+
+    def start(b: int) -> Column:
+        # Shifting keeps the sign, so this rounds down below zero too.
+        return F.shiftleft(F.shiftright(ts, b), b)
+
+    names = [f"_k{i}" for i in range(len(s.keys))]
+    rows = df.withColumn("_b", start(bits))
+    level = rows
+    while bits > 0:
+        full = level.groupBy(*s.keys, "_b").agg(F.count("*").alias("_n")).where(F.col("_n") > s.target_rows)
+        full = full.select(*[F.col(k).alias(n) for k, n in zip(s.keys, names)], F.col("_b").alias("_fb"))
+        found = full.limit(HOT_CELLS + 1).collect()
+        if not found:
+            break
+        if len(found) <= HOT_CELLS:
+            full = F.broadcast(df.sparkSession.createDataFrame(found, full.schema))
+        bits = max(bits - 6, 0)
+        cond = F.col("_b") == F.col("_fb")
+        for k, n in zip(s.keys, names):
+            cond = cond & (F.col(k) == F.col(n))
+        joined = rows.join(full, cond, "left").withColumn("_b", F.when(F.col("_fb").isNotNull(), start(bits)).otherwise(F.col("_b")))
+        level = joined.where(F.col("_fb").isNotNull()).select(*s.keys, "_b")
+        rows = joined.drop("_fb", *names)
+    return rows
 
 
 def ensure_buckets(df: DataFrame, s: Series) -> DataFrame:
@@ -93,14 +102,18 @@ def ensure_buckets(df: DataFrame, s: Series) -> DataFrame:
 
 
 def join_summary(rows: DataFrame, summary: DataFrame, s: Series) -> DataFrame:
-    """Attach the per-bucket summary; null keys match each other."""
+    """Attach the per-bucket summary.
+
+    Plain equality on the partition columns of the windows before it, so the rows keep their place and only the
+    summary moves.
+    """
     renamed = summary.select(
         *[F.col(k).alias(f"_k{i}") for i, k in enumerate(s.part)],
         *[c for c in summary.columns if c not in s.part],
     )
     cond = F.lit(True)
     for i, k in enumerate(s.part):
-        cond = cond & rows[k].eqNullSafe(renamed[f"_k{i}"])
+        cond = cond & (rows[k] == renamed[f"_k{i}"])
     return rows.join(renamed, cond, "left").drop(*[f"_k{i}" for i in range(len(s.part))])
 
 

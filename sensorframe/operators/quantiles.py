@@ -15,8 +15,8 @@ from pyspark.sql import Window as W
 
 from sensorframe.session import stage
 
-# Largest group whose values may sit in one aggregation buffer.
-BOUNDED_ROWS = 20_000
+# Most values of one group that may sit in aggregation buffers, all requested quantiles together.
+BOUNDED_ROWS = 60_000
 # Bins per e-fold of distance from the approximate quantile.
 _BINS = 256.0
 
@@ -49,7 +49,7 @@ def exact_quantiles(
         return exact_quantiles(keyed, ["_all"], wanted, bounded_rows).drop("_all")
     base = df.select(*keys, *[v.alias(f"_v{i}") for i, (v, _) in enumerate(wanted.values())])
     largest = base.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
-    if largest <= bounded_rows:
+    if largest * len(names) <= bounded_rows:
         return base.groupBy(*keys).agg(
             *[F.percentile(f"_v{i}", float(wanted[n][1])).alias(n) for i, n in enumerate(names)]
         )
