@@ -175,7 +175,10 @@ MESSAGES = {
 
 
 def message(text: Column, name: str) -> Column:
-    """printed message as a struct, null when it does not have the form of ``name``."""
+    """printed message as a struct, null when it does not have the form of ``name``.
+
+    The form reaches to the end of the text, so a message inside another one is taken whole.
+    """
     package, fields = MESSAGES[name]
     inner = []
     for field, kind in fields:
@@ -184,7 +187,7 @@ def message(text: Column, name: str) -> Column:
         else:
             value = {"int": r"(\d+)", "num": f"({_NUM})", "text": "'([^']*)'"}[kind]
         inner.append(f"{field}={value}")
-    rx = rf"^{package}__msg__{name}\(" + ", ".join(inner) + r", __msgtype__='[^']+'\)"
+    rx = rf"^{package}__msg__{name}\(" + ", ".join(inner) + r", __msgtype__='[^']+'\)\s*$"
     out = []
     for i, (field, kind) in enumerate(fields, start=1):
         got = F.regexp_extract(text, rx, i)

@@ -105,20 +105,25 @@ def hand_ground_truth(
     """
     world = ["lx", "ly", "lz", "wx", "wy", "wz"]
     sure = landmarks.where(F.col("confidence") > min_confidence)
-    rows = interpolate_strict(frames, sure, s, world, max_gap_ns).dropna(subset=world)
-    rows = stage(rows)
-    posed = interpolate_pose(rows, camera_poses, s, clamp=False, names=("tx", "ty", "tz", "qx", "qy", "qz", "qw")).dropna(subset=["tx"])
-    m, t = g.invert(g.quat_to_matrix([F.col(c) for c in ("qx", "qy", "qz", "qw")]), [F.col(c) for c in ("tx", "ty", "tz")])
-    cam = g.transform(m, t, [F.col(c) for c in world[:3]])
-    wrist = g.transform(m, t, [F.col(c) for c in world[3:]])
+    rows = stage(interpolate_strict(frames, sure, s, world, max_gap_ns)).dropna(subset=world)
+    # Written out before each filter: the optimizer would otherwise follow the filter through every formula.
+    posed = stage(interpolate_pose(rows, camera_poses, s, clamp=False)).dropna(subset=["tx"])
+    # In steps: each works on columns of the one before, so no expression is written out many times.
+    quat, place = [F.col(c) for c in ("qx", "qy", "qz", "qw")], [F.col(c) for c in ("tx", "ty", "tz")]
+    posed = posed.select("*", *[x.alias(f"_m{i}") for i, x in enumerate(g.transpose(g.quat_to_matrix(quat)))])
+    m = [F.col(f"_m{i}") for i in range(9)]
+    points = [g.rotate(m, g.vsub([F.col(c) for c in axes], place)) for axes in (world[:3], world[3:])]
+    posed = posed.select("*", *[x.alias(f"_{p}{i}") for p, v in zip("cw", points) for i, x in enumerate(v)])
+    cam, wrist = ([F.col(f"_{p}{i}") for i in range(3)] for p in "cw")
     k = g.lits(intrinsics)
     u, v = g.project_safe(k, cam, *image)
-    seen = posed.withColumn("u", u).withColumn("v", v).withColumn("cam_z", cam[2]).withColumn("_wu", g.project_safe(k, wrist, *image)[0])
-    seen = stage(seen.where(F.col("u").isNotNull() & F.col("_wu").isNotNull()).drop("_wu"))
+    seen = posed.select("*", u.alias("u"), v.alias("v"), cam[2].alias("cam_z"), g.project_safe(k, wrist, *image)[0].alias("_wu"))
+    seen = seen.drop(*[f"_m{i}" for i in range(9)], *[f"_{p}{i}" for p in "cw" for i in range(3)])
+    seen = stage(seen).where(F.col("u").isNotNull() & F.col("_wu").isNotNull()).drop("_wu")
     seen = stage(asof_join(seen, depth, s, ["w", "h", "values"], tolerance=frame_tolerance))
     du, dv = F.col("u") * F.col("w") / float(image[0]), F.col("v") * F.col("h") / float(image[1])
     seen = seen.withColumn("measured", g.bilinear(F.col("values"), F.col("w"), F.col("h"), du, dv)).drop("values", "w", "h")
-    seen = stage(seen.where(~occluded(F.col("measured"), F.col("cam_z"))))
+    seen = stage(seen).where(~occluded(F.col("measured"), F.col("cam_z")))
     out = guarded_speed(seen, s, ["lx", "ly", "lz"])
     dist = g.norm([F.col(a) - F.col(b) for a, b in zip(world[:3], ("tx", "ty", "tz"))])
     return out.withColumn("distance", dist).withColumn("part", distance_class(F.col("distance")))
