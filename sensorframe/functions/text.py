@@ -17,6 +17,11 @@ METADATA_MAX_BYTES = 16 * 1024 * 1024
 SKIPPED_NAMES = (".DS_Store", "Thumbs.db", "__MACOSX", ".Spotlight-V100", ".TemporaryItems", ".Trashes")
 
 
+def strip(col: Column | str) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.regexp_replace(F.col(col) if isinstance(col, str) else col, r"^\s+|\s+$", "")
+
+
 def stem(name: Column) -> Column:
     """File name without its last suffix; a leading dot does not start a suffix."""
     return F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")
@@ -109,9 +114,9 @@ def is_metadata(name: Column, size: Column) -> Column:
 
 def archive_stem(name: Column, strip_note: bool) -> Column:
     """file-name-safe stem; ``strip_note`` takes off a trailing remark in parentheses."""
-    text = F.trim(name)
+    text = strip(name)
     if strip_note:
-        short = F.trim(F.regexp_replace(text, r"\s+\([^)]*\)\s*$", ""))
+        short = strip(F.regexp_replace(text, r"\s+\([^)]*\)\s*$", ""))
         text = F.when(short == "", text).otherwise(short)
     text = F.regexp_replace(text, r"[()]", " ")
     text = F.regexp_replace(F.regexp_replace(text, r"[^A-Za-z0-9._-]+", "_"), r"_+", "_")

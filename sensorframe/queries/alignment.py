@@ -208,17 +208,17 @@ def split_interactions(spark, sf):
     return out.select("site", "sensor", "name", "start_ns", "end_ns", r6("duration_s").alias("duration_s"))
 
 
-@query("renumber_windows", """WITH w AS (SELECT o_custkey % 50 AS site, 'window_' || o_orderkey AS name, epoch_us(o_orderdate)*1000 + o_orderkey AS start_ns, o_orderkey, o_orderpriority FROM orders)
-SELECT site, 'window_' || (row_number() OVER (PARTITION BY site ORDER BY start_ns) - 1) AS name, start_ns, o_orderpriority AS label, o_orderkey AS idx FROM w WHERE o_orderkey % 3 = 0""")
+@query("renumber_windows", """WITH w AS (SELECT o_custkey % 50 AS site, 'window_' || o_orderkey AS name, epoch_us(o_orderdate)*1000 + o_orderkey AS start_ns, o_orderkey, o_orderpriority, o_orderstatus FROM orders)
+SELECT site, 'window_' || (row_number() OVER (PARTITION BY site ORDER BY start_ns) - 1) AS name, start_ns, o_orderpriority AS label, o_orderkey AS idx FROM w WHERE o_orderstatus = 'F'""")
 def renumber_windows(spark, sf):
-    # Every third window is taken as confirmed, which is the operator's input.
+    # Windows of finished orders are the confirmed ones.
     rows = table(spark, sf, "orders")
     key = F.col("o_orderkey")
     windows = rows.select(
         (F.col("o_custkey") % 50).alias("site"), F.concat(F.lit("window_"), key).alias("name"),
         (ns("o_orderdate") + key).alias("start_ns"), (ns("o_orderdate") + key + F.lit(HOUR_NS)).alias("end_ns"),
     )
-    confirmed = rows.where(key % 3 == 0).select(
+    confirmed = rows.where("o_orderstatus = 'F'").select(
         (F.col("o_custkey") % 50).alias("site"), F.concat(F.lit("window_"), key).alias("name"),
         F.col("o_orderpriority").alias("single_word_description"), key.alias("index"),
     )

@@ -314,3 +314,48 @@ def anonymization_counts(spark, sf):
     return samples(spark, sf).groupBy("recorder", "topic").agg(
         F.count("*").alias("images"), F.count_if(F.col("value") > 100).alias("flagged"), F.sum(F.floor("value")).alias("faces")
     )
+
+
+@query("valid_overlap", f"""WITH {SAMPLES}, e AS (SELECT recorder, min(ts) AS a, max(ts) AS b FROM samples WHERE topic = 'error' GROUP BY recorder)
+SELECT event_id, coalesce(ts BETWEEN a AND b, false) AS valid FROM samples LEFT JOIN e USING (recorder)""")
+def valid_overlap(spark, sf):
+    from sensorframe.operators.relational import within_extent
+
+    rows = samples(spark, sf)
+    return within_extent(rows, rows.where("topic = 'error'"), ["recorder"]).select("event_id", "valid")
+
+
+@query("motor_state_filter", f"WITH {SAMPLES} SELECT event_id FROM samples WHERE recorder/100.0 - 0.9 > radians(85.0+64.0-180.0) AND value/100 - 0.1 >= 0 AND abs(value*4 - 100) > 50")
+def motor_state_filter(spark, sf):
+    from sensorframe.operators.relational import loaded_motor
+
+    v = F.col("value")
+    rows = samples(spark, sf).select("event_id", (F.col("recorder") / 100.0 - 0.9).alias("position"), (v / 100 - 0.1).alias("velocity"), (v * 4 - 100).alias("effort"))
+    return loaded_motor(rows).select("event_id")
+
+
+@query("any_present", "WITH r AS (SELECT doc_id, quality, toxic FROM documents LEFT JOIN labels USING (doc_id)) SELECT doc_id FROM r WHERE quality IS NOT NULL OR toxic IS NOT NULL")
+def any_present(spark, sf):
+    from sensorframe.operators.relational import any_present as keep
+
+    rows = table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels"), "doc_id", "left")
+    return keep(rows, ["quality", "toxic"]).select("doc_id")
+
+
+@query("key_sets", """WITH a AS (SELECT source FROM documents JOIN labels USING (doc_id) WHERE toxic = 1), b AS (SELECT source FROM documents JOIN labels USING (doc_id) WHERE quality = 0)
+SELECT source, 'first' AS part FROM (SELECT source FROM a EXCEPT SELECT source FROM b) UNION ALL SELECT source, 'both' FROM (SELECT source FROM a INTERSECT SELECT source FROM b)""")
+def key_sets(spark, sf):
+    # U4 and U5 of the sources of two overlapping groups of documents.
+    from sensorframe.operators.relational import in_both, only_in_first
+
+    docs = table(spark, sf, "documents").select("doc_id", "source").join(table(spark, sf, "labels"), "doc_id")
+    a, b = docs.where("toxic = 1"), docs.where("quality = 0")
+    return only_in_first(a, b, ["source"]).withColumn("part", F.lit("first")).unionByName(in_both(a, b, ["source"]).withColumn("part", F.lit("both")))
+
+
+@query("time_range", f"WITH {SAMPLES}, s AS (SELECT *, ts - 1704067200000000000 AS rel FROM samples) SELECT event_id FROM s WHERE rel BETWEEN 864000000000000 AND 1728000000000000")
+def time_range(spark, sf):
+    from sensorframe.operators.relational import time_range as crop
+
+    base = 1704067200000000000
+    return crop(samples(spark, sf), base + 864000000000000, base + 1728000000000000).select("event_id")

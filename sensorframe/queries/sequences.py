@@ -127,14 +127,14 @@ def image_load_match(spark, sf):
     return out.select("event_id", "load", "load_ts", r6((F.col("ts") - F.col("load_ts")) / F.lit(1e9)).alias("delta_t_s"))
 
 
-@query("exact_else_nearest", f"""WITH {SAMPLES}, l AS (SELECT event_id, ts FROM samples WHERE event_id % 2 = 0 OR topic='view'),
+@query("exact_else_nearest", f"""WITH {SAMPLES}, l AS (SELECT event_id, ts FROM samples WHERE topic IN ('click', 'view')),
 r AS (SELECT ts, event_id AS pose_id FROM samples WHERE topic='view'),
 {_nearest_sql('l', 'r', 'n', ['pose_id'], 1 << 62)}
 SELECT event_id, pose_id FROM n""")
 def exact_else_nearest(spark, sf):
-    # Anchors are the even-numbered samples and every pose sample itself, so both branches occur.
+    # Anchors are samples of another topic and every pose sample itself, so both branches occur.
     every = rig(samples(spark, sf))
-    left = every.where((F.col("event_id") % 2 == 0) | (F.col("topic") == "view")).select("rig", "event_id", "ts")
+    left = every.where(F.col("topic").isin("click", "view")).select("rig", "event_id", "ts")
     right = every.where(F.col("topic") == "view").select("rig", "ts", F.col("event_id").alias("pose_id"))
     return asof_join(left, right, RIG, ["pose_id"]).select("event_id", "pose_id")
 

@@ -150,15 +150,15 @@ def binned_ls(spark, sf):
     return fits.binned_slope(rows, ["flag"], F.col("w"), F.col("x"), F.col("y")).select("flag", "bin", "n", r6("eta").alias("eta"))
 
 
-@query("contact_free_bias", f"WITH {SAMPLES} SELECT topic, round(quantile_cont(value, 0.5), 6)+0.0 AS value FROM samples WHERE recorder % 3 = 0 GROUP BY topic")
+@query("contact_free_bias", f"WITH {SAMPLES} SELECT topic, round(quantile_cont(value, 0.5), 6)+0.0 AS value FROM samples WHERE value < 40 GROUP BY topic")
 def contact_free_bias(spark, sf):
-    return metrics.median_bias(samples(spark, sf), ["topic"], ["value"], F.col("recorder") % 3 == 0).select("topic", r6("value").alias("value"))
+    return metrics.median_bias(samples(spark, sf), ["topic"], ["value"], F.col("value") < 40).select("topic", r6("value").alias("value"))
 
 
-@query("bias_subtracted", f"WITH {SAMPLES}, b AS (SELECT topic, quantile_cont(value, 0.5) AS b FROM samples WHERE recorder % 3 = 0 GROUP BY topic) SELECT event_id, round(value - b, 6)+0.0 AS value FROM samples JOIN b USING (topic)")
+@query("bias_subtracted", f"WITH {SAMPLES}, b AS (SELECT topic, quantile_cont(value, 0.5) AS b FROM samples WHERE value < 40 GROUP BY topic) SELECT event_id, round(value - b, 6)+0.0 AS value FROM samples JOIN b USING (topic)")
 def bias_subtracted(spark, sf):
     rows = samples(spark, sf)
-    bias = metrics.median_bias(rows, ["topic"], ["value"], F.col("recorder") % 3 == 0)
+    bias = metrics.median_bias(rows, ["topic"], ["value"], F.col("value") < 40)
     return metrics.subtract_bias(rows, bias, ["topic"], ["value"]).select("event_id", r6("value").alias("value"))
 
 

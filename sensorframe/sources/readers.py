@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sensorframe.functions.text import float_list, message
+from sensorframe.functions.text import float_list, message, strip
 from sensorframe.functions.timecols import to_ns
 
 PATH = "_metadata.file_path"
@@ -73,7 +73,7 @@ def time_column(df: DataFrame, exact: bool = False) -> str | None:
 
 def read_odometry(spark: SparkSession, path: str) -> DataFrame:
     """Headerless ``ts tx ty tz qx qy qz qw`` separated by blanks; lines of another form are left out."""
-    p = F.split(F.trim("value"), r"\s+")
+    p = F.split(strip("value"), r"\s+")
     rows = spark.read.text(path).select(p.alias("p"), F.col(PATH).alias("path")).where(F.size("p") == 8)
     names = ("tx", "ty", "tz", "qx", "qy", "qz", "qw")
     ts = F.coalesce(F.col("p")[0].try_cast("bigint"), F.col("p")[0].try_cast("double").cast("bigint"))
@@ -110,15 +110,15 @@ def read_cues(spark: SparkSession, path: str) -> DataFrame:
 
     The delimiter is the candidate that occurs most in a file's first line, so files may differ.
     """
-    doc = spark.read.text(path, wholetext=True).select(F.split(F.trim("value"), r"\r?\n").alias("lines"), F.col(PATH).alias("path"))
+    doc = spark.read.text(path, wholetext=True).select(F.split(strip("value"), r"\r?\n").alias("lines"), F.col(PATH).alias("path"))
     head = F.element_at("lines", 1)
     counts = F.array(*[F.struct(F.length(F.regexp_replace(head, f"[^{d}]", "")).alias("n"), F.lit(d).alias("d")) for d in ("|", ";", "\t", ",")])
     doc = doc.withColumn("d", F.array_max(counts)["d"])
-    cells = doc.select("path", "d", F.transform(F.split(head, F.concat(F.lit("["), "d", F.lit("]"))), lambda h: F.lower(F.trim(h))).alias("h"), F.explode(F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0)))).alias("line"))
+    cells = doc.select("path", "d", F.transform(F.split(head, F.concat(F.lit("["), "d", F.lit("]"))), lambda h: F.lower(strip(h))).alias("h"), F.explode(F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0)))).alias("line"))
     cells = cells.select("path", "h", F.split("line", F.concat(F.lit("["), "d", F.lit("]"))).alias("c"))
 
     def value(*names: str) -> Column:
-        got = [F.trim(F.get("c", F.array_position("h", n).cast("int") - 1)) for n in names]
+        got = [strip(F.get("c", F.array_position("h", n).cast("int") - 1)) for n in names]
         return F.coalesce(*[F.when(x != "", x) for x in got])
 
     rows = cells.select(
@@ -130,7 +130,7 @@ def read_cues(spark: SparkSession, path: str) -> DataFrame:
 
 def read_event_pairs(spark: SparkSession, path: str) -> DataFrame:
     """Files whose first line names two sensors and whose other lines pair their times."""
-    doc = spark.read.text(path, wholetext=True).select(F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "").alias("l"), F.col(PATH).alias("path"))
+    doc = spark.read.text(path, wholetext=True).select(F.filter(F.split("value", r"\r?\n"), lambda x: strip(x) != "").alias("l"), F.col(PATH).alias("path"))
     head = F.element_at("l", 1)
     rows = doc.select(
         F.regexp_extract(head, r"['\"]([^'\"]+)['\"]\s*,\s*['\"]([^'\"]+)['\"]", 1).alias("sensor_1"),
@@ -170,7 +170,7 @@ def read_calibration(spark: SparkSession, path: str) -> DataFrame:
     return doc.select(
         F.regexp_extract(body, r"^(\w+):", 1).alias("camera"), float_list(F.regexp_extract(body, r"intrinsics:\s*(\[[^\]]*\])", 1)).alias("intrinsics"),
         F.get(size, F.lit(0)).cast("int").alias("w"), F.get(size, F.lit(1)).cast("int").alias("h"),
-        float_list(F.trim(F.regexp_replace(rows, r"[\[\]\-](?=\s|\[|$)|\[|\]", " "))).alias("T"),
+        float_list(strip(F.regexp_replace(rows, r"[\[\]\-](?=\s|\[|$)|\[|\]", " "))).alias("T"),
         F.regexp_extract(body, r"timeshift_cam_imu:\s*(\S+)", 1).try_cast("double").alias("timeshift_s"), "path",
     )
 
@@ -193,7 +193,7 @@ def read_force_samples(spark: SparkSession, root: str) -> DataFrame:
     """Label and force of ``scene/sample`` folders that hold both files."""
     doc = spark.read.option("pathGlobFilter", "*.txt").option("recursiveFileLookup", True).text(root, wholetext=True)
     p = F.split(F.col(PATH), "/")
-    rows = doc.select(F.element_at(p, -3).alias("scene"), F.element_at(p, -2).alias("sample"), F.element_at(p, -1).alias("f"), F.trim("value").alias("v"))
+    rows = doc.select(F.element_at(p, -3).alias("scene"), F.element_at(p, -2).alias("sample"), F.element_at(p, -1).alias("f"), strip("value").alias("v"))
     out = rows.groupBy("scene", "sample").agg(
         F.max(F.when(F.col("f") == "label.txt", F.col("v"))).alias("label"), F.max(F.when(F.col("f") == "force.txt", F.col("v"))).try_cast("double").alias("force")
     )
