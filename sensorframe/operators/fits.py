@@ -75,14 +75,17 @@ def with_params(df: DataFrame, theta: DataFrame, keys: Sequence[str]) -> DataFra
     return attach(df, side, keys)
 
 
-def soft_l1(df: DataFrame, keys: Sequence[str], params: Sequence[str], equations: Sequence[Equation], *, rounds: int = 60, tol: float = 1e-10) -> DataFrame:
+def soft_l1(df: DataFrame, keys: Sequence[str], params: Sequence[str], equations: Sequence[Equation], *, rounds: int = 60, tol: float = 1e-10, start: DataFrame | None = None) -> DataFrame:
     """Minimum of the smooth L1 loss of a linear model by reweighted least squares, one aggregate per round.
 
     The loss is convex, so this is the minimum any other method finds. The rounds end when no parameter of any
-    group moves by more than ``tol`` of its size.
+    group moves by more than ``tol`` of its size. ``start`` replaces the plain least-squares start; ``df`` is then a
+    table already.
     """
-    df = stage(df)
-    theta = stage(least_squares(df, keys, params, equations, ridge=1e-12))
+    if start is None:
+        df = stage(df)
+        start = stage(least_squares(df, keys, params, equations, ridge=1e-12))
+    theta = start
     for _ in range(rounds):
         rows = with_params(df, theta, keys)
         weights = [F.lit(1.0) / F.sqrt(F.lit(1.0) + r * r) for r in residuals(equations)]
@@ -188,27 +191,33 @@ def _dynamic_equations(force: Vec, torque: Vec, g_s: Vec, acc: Vec, omega: Vec,
 def tool_params_dynamic(
     df: DataFrame, keys: Sequence[str], force: Vec, torque: Vec, g_s: Vec, acc: Vec, omega: Vec, alpha: Vec, *,
     mass: float, cog: Sequence[float], fit_cog: bool = False, gyro: bool = False, torque_weight: float = 1.0,
-    outer_rounds: int = 15,
+    outer_rounds: int = 40,
 ) -> DataFrame:
     """Biases and inertia (and centre of gravity) of a moving tool under the smooth L1 loss.
 
-    With a fixed centre of gravity the model is linear. A free one is found by Gauss-Newton steps around that
-    linear fit. ``inertia_is_spd`` tells whether the inertia is positive definite, which the fit does not force.
+    With a fixed centre of gravity the model is linear. A free one takes Gauss-Newton steps, each with the weights
+    of the step before. ``inertia_is_spd`` tells whether the inertia is positive definite, which the fit does not force.
     """
     df = stage(df)
     params = [*F0, *TAU0, *INERTIA]
     at = [f"_{n}" for n in COG]
     c = df.select(*keys).distinct().select(*keys, *[F.lit(float(v)).alias(n) for v, n in zip(cog, at)])
     cols = [F.col(n) for n in at]
+    theta = None
     for _ in range(outer_rounds if fit_cog else 1):
         rows = stage(attach(df, c, keys))
         eqs = _dynamic_equations(force, torque, g_s, acc, omega, alpha, mass, cols, gyro, torque_weight)
         if fit_cog:
             eqs = [(_with_cog_slope(coef, i, force, g_s, acc, omega, alpha, mass, cols, torque_weight), rhs) for i, (coef, rhs) in enumerate(eqs)]
         names = params + (["dcx", "dcy", "dcz"] if fit_cog else [])
-        theta = soft_l1(rows, keys, names, eqs)
         if not fit_cog:
+            theta = soft_l1(rows, keys, names, eqs)
             break
+        if theta is None:
+            theta = stage(least_squares(rows, keys, names, eqs, ridge=1e-12))
+        else:
+            still = theta.withColumns({f"d{n}": F.lit(0.0) for n in COG})
+            theta = soft_l1(rows, keys, names, eqs, rounds=1, start=still)
         moved = attach(c, theta, keys)
         c = stage(moved.select(*keys, *[(F.col(a) + F.col(f"d{n}")).alias(a) for a, n in zip(at, COG)]))
         step = theta.agg(F.max(F.greatest(*[F.abs(F.col(f"d{n}")) for n in COG])).alias("m")).first()["m"]

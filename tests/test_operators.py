@@ -303,3 +303,28 @@ def test_strict_and_clamped_interpolation(spark):
     q = spark.createDataFrame([(0, 0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0), (0, 10, 1.0, 0.0, 0.0, 0.0, 0.0, -1.0, 0.0)], "k int, ts long, tx double, ty double, tz double, qx double, qy double, qz double, qw double")
     mid = interpolate_pose(spark.createDataFrame([(0, 5)], "k int, ts long"), q, S).collect()[0]
     assert abs(abs(mid.qz) - math.sqrt(0.5)) < 1e-12 and abs(mid.tx - 0.5) < 1e-12
+
+
+def test_compensated_wrench_of_a_free_tool_is_zero(spark):
+    from sensorframe.functions import wrench as wr
+
+    rng = np.random.default_rng(12)
+    ms, n = 1_000_000, 400
+    rows, poses = [], []
+    for i in range(n):
+        a = i / 40
+        q = (0.3 * math.sin(a), 0.2 * math.cos(a), 0.1, 1.0)
+        q = tuple(np.array(q) / np.linalg.norm(q))
+        poses.append((0, i * 10 * ms, 0.0, 0.0, 0.0, *map(float, q)))
+        x, y, z, w = q
+        gs = np.array([2 * (x * z - y * w), 2 * (y * z + x * w), 1 - 2 * (x * x + y * y)]) * -wr.GRAVITY
+        f = 0.49 * gs + [1.0, 2.0, 3.0]
+        tau = np.cross([0.021, 0.02, 0.059], 0.49 * gs) + [0.1, 0.2, 0.3]
+        rows.append((0, i * 10 * ms, *map(float, f), *map(float, tau)))
+    wrench = spark.createDataFrame(rows, "rec int, ts long, fx double, fy double, fz double, tx double, ty double, tz double")
+    track = spark.createDataFrame(poses, "rec int, ts long, tx double, ty double, tz double, qx double, qy double, qz double, qw double")
+    out = wplan.compensate_wrench(
+        wrench, track, Series(["rec"]), (1, 0, 0, 0, 1, 0, 0, 0, 1), mass=0.49, cog=(0.021, 0.02, 0.059), rate_hz=100.0, min_free_s=0.1, erode_s=0.0
+    ).toPandas()
+    assert len(out) == n
+    np.testing.assert_allclose(out[[f"ext_{c}_filt" for c in ("fx", "fy", "fz", "tx", "ty", "tz")]], 0.0, atol=1e-5)
