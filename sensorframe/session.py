@@ -16,6 +16,9 @@ DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+# Temporary folders of local sessions that name no shared one.
+_LOCAL: dict[str, str] = {}
+
 
 def get_spark(app: str = "sensorframe", master: str | None = None, **conf: str) -> SparkSession:
     """A session with UTC time and adaptive execution; ``conf`` keys use ``_`` for ``.``."""
@@ -38,9 +41,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return base
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    base = tempfile.mkdtemp(prefix="sensorframe-")
-    spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="sensorframe-")
+    return _LOCAL[app]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
