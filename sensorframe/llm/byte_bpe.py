@@ -19,22 +19,26 @@ from pyspark.sql import DataFrame
 from sensorframe.llm.common import arrow_rows
 
 # Words and neighbour pairs remembered by a worker.
-REMEMBERED = 400_000
+REMEMBERED = 500_000
 # A space beside other white space: such texts are cut by the pattern alone.
 _BESIDE_SPACE = re.compile(r" \s|\s |^\s|\s$")
 _CODECS: dict[tuple[str, str], "Codec"] = {}
 
 
 class _Words(dict):
-    """Ids by string, worked out when first asked for; emptied when full."""
+    """Values by string, worked out when first asked for. Of two generations the older goes when the younger is full."""
 
     def __init__(self, make):
         self.make = make
+        self.older = {}
 
     def __missing__(self, key):
-        value = self.make(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
         if len(key) <= 64:
             if len(self) >= REMEMBERED:
+                self.older = dict(self)
                 self.clear()
             self[key] = value
         return value

@@ -22,6 +22,7 @@ from sensorframe.llm.common import arrow_rows, ceil_div, stage
 
 # Windows packed together in one group.
 GROUP_WINDOWS = 256
+MARKS = ".,;:!?*#$%&|"
 _WORDS: dict[str, "WordIds"] = {}
 
 
@@ -36,11 +37,20 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.words = _Words(self._whole)
+        self.words = _Words(self._word)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _word(self, word: str) -> bytes:
+        # Marks that follow a letter are a piece of their own, and case is dropped: so fewer words are new.
+        base = word.rstrip(MARKS)
+        if base != word and base and base[-1].lower().isalpha():
+            return self.words[base] + self.words[word[len(base):]]
+        if word.isascii() and not word.islower() and word != word.lower():
+            return self.words[word.lower()]
+        return self._whole(word)
+
     def encode(self, text: str) -> np.ndarray:
         if any(c in text for c in self.ODD):
             return np.frombuffer(self._whole(text), "<u4")
