@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorframe.llm import byte_bpe, chat, near_dedup, packing, top_k
+from sensorframe.llm import byte_bpe, chat, near_dedup, packing, quality, rules, top_k
 from sensorframe.llm.common import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -73,3 +73,13 @@ def op10_chat(spark: SparkSession, sf: str) -> DataFrame:
         "conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
         F.length("learnt").cast("bigint").alias("loss_chars"), F.sha2("learnt", 256).alias("loss_sha256"), "formatted_chars",
     )
+
+
+@query("op2_quality")
+def op2_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.score(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op3_rules")
+def op3_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return rules.apply_rules(table(spark, sf, "documents"), table(spark, sf, "labels"))
