@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorframe.llm import byte_bpe, chat, near_dedup, packing, quality, rules, top_k
+from sensorframe.llm import byte_bpe, chat, languages, near_dedup, packing, quality, rules, top_k
 from sensorframe.llm.common import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -83,3 +83,8 @@ def op2_quality(spark: SparkSession, sf: str) -> DataFrame:
 @query("op3_rules")
 def op3_rules(spark: SparkSession, sf: str) -> DataFrame:
     return rules.apply_rules(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op4_languages")
+def op4_languages(spark: SparkSession, sf: str) -> DataFrame:
+    return languages.predict(table(spark, sf, "documents"))
