@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorframe.llm import byte_bpe, chat, languages, near_dedup, packing, quality, rules, top_k
+from sensorframe.llm import byte_bpe, chat, languages, near_dedup, packing, pages, quality, rules, top_k
 from sensorframe.llm.common import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -88,3 +88,8 @@ def op3_rules(spark: SparkSession, sf: str) -> DataFrame:
 @query("op4_languages")
 def op4_languages(spark: SparkSession, sf: str) -> DataFrame:
     return languages.predict(table(spark, sf, "documents"))
+
+
+@query("op9_pages")
+def op9_pages(spark: SparkSession, sf: str) -> DataFrame:
+    return pages.extract(table(spark, sf, "pages"))
