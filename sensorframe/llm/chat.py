@@ -34,10 +34,11 @@ def _walk(messages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         if step.isEmpty():
             return state, steps
         steps.append(step)
+        # Only messages that are not yet at their root move on.
         above = state.select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"), F.col("total").alias("extra"))
-        # A parent that is not there ends the walk: its child is a root.
-        met = state.join(above, ["tree", "up"], "left")
-        state = stage(met.select("tree", "node", F.col("next").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("extra", F.lit(0.0))).alias("total")), "walk")
+        moved = state.where("up is not null").join(above, ["tree", "up"])
+        moved = moved.select("tree", "node", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("total") + F.col("extra")).alias("total"))
+        state = stage(state.where("up is null").union(moved), "walk")
 
 
 def branches(messages: DataFrame, best: int | None = None) -> DataFrame:
@@ -58,9 +59,10 @@ def branches(messages: DataFrame, best: int | None = None) -> DataFrame:
         leaves = leaves.withColumn("r", F.row_number().over(w)).where(F.col("r") <= best)
     path = leaves.select("tree", F.col("node").alias("leaf"), "node", (F.col("depth") - 1).alias("position"))
     for k in range(len(steps) - 1, -1, -1):
-        met = path.join(steps[k], ["tree", "node"], "left")
-        both = F.array(F.struct("node", "position"), F.struct(F.col("up").alias("node"), (F.col("position") - 2**k).alias("position")))
-        path = met.select("tree", "leaf", F.explode(both).alias("p")).select("tree", "leaf", "p.node", "p.position").where("node is not null")
+        # Whoever is at least 2^k below the root brings in the message 2^k above.
+        path = stage(path, "path")
+        above = path.where(F.col("position") >= 2**k).join(steps[k], ["tree", "node"])
+        path = path.union(above.select("tree", "leaf", F.col("up").alias("node"), F.col("position") - 2**k))
     return path
 
 
