@@ -2,18 +2,40 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sensorframe.llm import packing, queries
+from sensorframe.llm import near_dedup, packing, pii, quality, rules
 from sensorframe.llm.common import stage, table
 
 
-def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack what is left into sequences."""
-    return packing.pack(docs, queries.public_tokenizers.path("word_bpe_49k.json"))
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier doesn't reject."""
+    return quality.keep(docs, table(spark, sf_dir, "labels"))
 
 
-STAGES = [("packing", pack_stage)]
+def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no quality rule rejects."""
+    return rules.keep(docs, table(spark, sf_dir, "labels"))
+
+
+def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, at a similarity of 0.8 on five words."""
+    return near_dedup.keep(docs, percent=80)
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data replaced by its kind; their length follows."""
+    return pii.redact(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All that is left, packed into sequences."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("quality classifier", classify), ("quality rules", apply_rules), ("near-duplicates", dedup), ("personal data", redact), ("packing", pack)]
+#: Trained scores, iterated components and token ids are not for SQL.
 ORACLE_SQL = None
 
 

@@ -8,10 +8,11 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sensorframe.session import stage
 
-__all__ = ["QUERIES", "SQL", "arrow_rows", "in_fold", "query", "stage", "table"]
+__all__ = ["QUERIES", "SQL", "arrow_append", "arrow_rows", "in_fold", "query", "stage", "table"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -61,6 +62,25 @@ def arrow_rows(df: DataFrame, columns: list[str], schema: str, fn: Callable[...,
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def arrow_append(df: DataFrame, columns: list[str], schema: str, fn: Callable[..., dict[str, list]]) -> DataFrame:
+    """``df`` with the columns of ``schema`` that ``fn`` gives for ``columns``; the other columns pass Python by untouched."""
+    names = [part.split()[0] for part in schema.split(",")]
+    target = df.sparkSession.createDataFrame([], schema).schema
+    whole = StructType(df.schema.fields + target.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(target)
+        for batch in batches:
+            for low in range(0, batch.num_rows, 500):
+                part = batch.slice(low, 500)
+                out = fn(*(part.column(c).to_pylist() for c in columns))
+                yield pa.RecordBatch.from_arrays(part.columns + [pa.array(out[n], arrow.field(n).type) for n in names], names=[*part.schema.names, *names])
+
+    return df.mapInArrow(run, whole)
+
+
 def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     """At most ``rows`` rows, those with the smallest hash of ``key``: the same ones however the table is split."""
     return df.orderBy(F.xxhash64(F.col(key)), F.col(key)).limit(rows)

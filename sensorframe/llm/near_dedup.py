@@ -3,8 +3,8 @@
 1. Every text gives its set of word shingles as 64-bit hashes, the minima of many universal hashes, and band keys of these.
 2. Texts with equal sets form one class, which goes on as its smallest document.
 3. Members of a band's bucket are tied to the bucket's smallest member: as many ties as members, never all pairs. The
-   connected ties are the candidate clusters; with 50 bands of 7 hashes two texts at the threshold 0.85 meet in no
-   bucket in 4 of a thousand million cases.
+   connected ties are the candidate clusters; the number of bands (51 of 7 hashes at 0.85) is such that two texts at the
+   threshold meet in no bucket in 4 of a thousand million cases.
 4. Each cluster is compared inside, in blocks of bounded size: first by signature, then on full sets. Only the links that
    join something new go on.
 5. Components of the confirmed links by alternating large-star and small-star.
@@ -13,6 +13,8 @@
 from __future__ import annotations
 
 import hashlib
+import math
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -24,15 +26,13 @@ from sensorframe.llm.common import arrow_rows, stage
 from sensorframe.llm.components import components
 
 WIDTH = 5
-BANDS = 50
 ROWS = 7
+# The chance that two texts exactly at the threshold meet in no bucket.
+MISS = 4e-9
 # Documents compared at once are two blocks of this many at most.
 BLOCK = 400
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(29)
-_RNG = np.random.default_rng(20)
-_TIMES = _RNG.integers(1, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-_PLUS = _RNG.integers(0, 2**63, BANDS * ROWS, np.uint64)
 
 
 def _word_hash(word: bytes) -> int:
@@ -58,32 +58,46 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(h)
 
 
-def minima(s: np.ndarray) -> np.ndarray:
-    """The smallest value of each universal hash over a set that isn't empty."""
+def band_count(percent: int) -> int:
+    """Bands of ROWS hashes that two texts at the threshold miss with a chance of MISS."""
+    if not 50 <= percent <= 100:
+        raise ValueError("the threshold is from 50 to 100 percent")
+    return 1 if percent == 100 else math.ceil(math.log(MISS) / math.log(1 - (percent / 100) ** ROWS))
+
+
+@cache
+def _hashes(many: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(20)
+    return rng.integers(1, 2**63, (many, 1), np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 2**63, (many, 1), np.uint64)
+
+
+def minima(s: np.ndarray, many: int) -> np.ndarray:
+    """The smallest value of each of ``many`` universal hashes over a set that isn't empty."""
+    times, plus = _hashes(many)
     low = None
     for at in range(0, len(s), 1024):
-        x = ((_TIMES[:, None] * s[None, at:at + 1024] + _PLUS[:, None]) >> np.uint64(32)).min(axis=1)
+        x = ((times * s[None, at:at + 1024] + plus) >> np.uint64(32)).min(axis=1)
         low = x if low is None else np.minimum(low, x)
     return low
 
 
 def band_keys(low: np.ndarray) -> np.ndarray:
-    rows = low.reshape(BANDS, ROWS)
-    key = np.arange(1, BANDS + 1, dtype=np.uint64) * _MIX
+    rows = low.reshape(-1, ROWS)
+    key = np.arange(1, len(rows) + 1, dtype=np.uint64) * _MIX
     for j in range(ROWS):
         key = (key ^ rows[:, j]) * _MIX
         key ^= key >> _SHIFT
     return key.view(np.int64)
 
 
-def signatures(documents: DataFrame, width: int) -> DataFrame:
+def signatures(documents: DataFrame, width: int, bands: int) -> DataFrame:
     """``doc_id, n, digest, signature, bands`` of every text; without words the last three are null."""
     def run(doc_id, text):
         out = {"doc_id": doc_id, "n": [], "digest": [], "signature": [], "bands": []}
         for t in text:
             s = shingles(t, width)
             out["n"].append(len(s))
-            low = minima(s) if len(s) else None
+            low = minima(s, bands * ROWS) if len(s) else None
             out["digest"].append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
             out["signature"].append(low.astype(np.uint8).tobytes() if len(s) else None)
             out["bands"].append(band_keys(low) if len(s) else None)
@@ -133,7 +147,7 @@ def near_duplicates(documents: DataFrame, width: int = WIDTH, percent: int = 85,
     with several texts and get the same component. A row without doc_id takes no part: its component is null and it is
     kept. An empty table gives no rows. Columns other than doc_id and text are not looked at.
     """
-    sigs = stage(signatures(documents, width), "signatures")
+    sigs = stage(signatures(documents, width, band_count(percent)), "signatures")
     known = sigs.where("doc_id is not null and digest is not null")
     classes = stage(known.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
     # One row for each class: that of its smallest document.
@@ -185,3 +199,10 @@ def near_duplicates(documents: DataFrame, width: int = WIDTH, percent: int = 85,
     out = sigs.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(least, "digest", "left")
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def keep(documents: DataFrame, width: int = WIDTH, percent: int = 85, block: int = BLOCK) -> DataFrame:
+    """One row of each group of near-duplicates; all columns as they were. Of rows that repeat the kept doc_id one stays, whichever."""
+    kept = near_duplicates(documents.select("doc_id", "text"), width, percent, block).where("kept and doc_id is not null").select("doc_id").distinct()
+    one = documents.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(documents.columns)
+    return one.union(documents.where("doc_id is null"))

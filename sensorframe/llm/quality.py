@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorframe.llm import boosting
-from sensorframe.llm.common import arrow_rows, in_fold
-from sensorframe.llm.statistics import FEATURES, SAMPLE_ROWS, features, labelled, statistics
+from sensorframe.llm.common import arrow_append, arrow_rows, in_fold
+from sensorframe.llm.statistics import COUNTS, SAMPLE_ROWS, counts, labelled, shares, statistics
 
 FOLDS, HELD = 5, 0
 
@@ -22,6 +21,16 @@ def fit(stats: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> boostin
     return boosting.fit(*labelled(stats, labels, learn_rows(), rows))
 
 
+def keep(documents: DataFrame, labels: DataFrame, cut: float = 0.3, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of ``documents`` whose score is at least ``cut``; all columns as they were, no text is shuffled."""
+    model = fit(statistics(documents), labels, rows)
+
+    def run(text):
+        return {"_kept": (model.score(shares(list(map(counts, text)))) >= cut).tolist()}
+
+    return arrow_append(documents, ["text"], "_kept boolean", run).where("_kept").drop("_kept")
+
+
 def score(documents: DataFrame, labels: DataFrame, cut: float = 0.3, rows: int = SAMPLE_ROWS) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every row.
 
@@ -32,11 +41,9 @@ def score(documents: DataFrame, labels: DataFrame, cut: float = 0.3, rows: int =
     """
     stats = statistics(documents)
     model = fit(stats, labels, rows)
-    names = [f"f_{n}" for n in FEATURES]
-    made = stats.select("doc_id", *(c.alias(f"f_{n}") for n, c in features().items()))
 
     def run(doc_id, *values):
-        return {"doc_id": doc_id, "score": model.score(np.array(values, float).T)}
+        return {"doc_id": doc_id, "score": model.score(shares(list(zip(*values))))}
 
-    scored = arrow_rows(made, ["doc_id", *names], "doc_id bigint, score double", run)
+    scored = arrow_rows(stats, ["doc_id", *COUNTS], "doc_id bigint, score double", run)
     return scored.select("doc_id", in_fold("doc_id", FOLDS, HELD).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))

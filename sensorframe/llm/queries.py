@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorframe.llm import byte_bpe, chat, languages, near_dedup, packing, pages, quality, rules, top_k
+from sensorframe.llm import byte_bpe, chat, languages, near_dedup, packing, pages, pii, quality, rules, top_k
 from sensorframe.llm.common import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -93,3 +93,8 @@ def op4_languages(spark: SparkSession, sf: str) -> DataFrame:
 @query("op9_pages")
 def op9_pages(spark: SparkSession, sf: str) -> DataFrame:
     return pages.extract(table(spark, sf, "pages"))
+
+
+@query("op7_pii")
+def op7_pii(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.report(table(spark, sf, "documents"))

@@ -13,8 +13,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sensorframe.llm.common import arrow_append
 from sensorframe.llm.quality import learn_rows
-from sensorframe.llm.statistics import FEATURES, SAMPLE_ROWS, features, labelled, statistics
+from sensorframe.llm.statistics import COUNTS, FEATURES, SAMPLE_ROWS, counts, features, labelled, statistics
 
 
 @dataclass(frozen=True)
@@ -123,6 +124,23 @@ def expression(rules: list[Rule], columns: list[Column]) -> Column:
     return F.lit(None).cast("int") if out is None else out
 
 
+def base_failed(prefix: str = "") -> Column:
+    n, repeated = F.col(f"{prefix}n_words"), F.col(f"{prefix}n_repeat_words")
+    return (n < 50) | (100 * repeated > 50 * n)
+
+
+def keep(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of ``documents`` that neither the base nor a rule rejects; all columns as they were, no text is shuffled."""
+    found = learn(*labelled(statistics(documents), labels, learn_rows(), rows))
+
+    def run(text):
+        return dict(zip([f"_{c}" for c in COUNTS], map(list, zip(*map(counts, text)))))
+
+    counted = arrow_append(documents, ["text"], ", ".join(f"_{c} bigint" for c in COUNTS), run)
+    met = expression(found, list(features("_").values()))
+    return counted.where(~base_failed("_") & met.isNull()).drop(*(f"_{c}" for c in COUNTS))
+
+
 def apply_rules(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, rule`` of every row.
 
@@ -133,6 +151,5 @@ def apply_rules(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS
     stats = statistics(documents)
     x, y = labelled(stats, labels, learn_rows(), rows)
     rules = learn(x, y)
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    out = stats.select("*", failed.alias("base_failed"), expression(rules, list(features().values())).alias("rule"))
+    out = stats.select("*", base_failed().alias("base_failed"), expression(rules, list(features().values())).alias("rule"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.col("rule").isNull()).alias("kept"), "rule")

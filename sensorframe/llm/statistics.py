@@ -15,7 +15,14 @@ from sensorframe.llm.common import arrow_rows, bounded_sample, stage
 SAMPLE_ROWS = 20_000
 SYMBOLS = b"#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars", "n_lines", "n_upper", "n_digits", "n_exclaim", "n_bar", "n_top", "n_stops", "n_odd", "n_doubled")
-FEATURES = ("n_words", "mean_word", "symbols", "dup_lines", "repeats", "line_words", "upper", "digits", "exclaim", "bars", "top", "stops", "odd", "doubled")
+# What is added up, taken off, and what it is a share of.
+FORMULAS = {
+    "n_words": (("n_words",), (), None), "mean_word": (("word_chars",), ("n_symbols", "n_exclaim", "n_stops"), "n_words"), "symbols": (("n_symbols",), (), "n_words"),
+    "dup_lines": (("n_dup_lines",), (), "n_lines"), "repeats": (("n_repeat_words",), (), "n_words"), "line_words": (("n_words",), (), "n_lines"), "upper": (("n_upper",), (), "n_chars"),
+    "digits": (("n_digits",), (), "n_chars"), "exclaim": (("n_exclaim",), (), "n_words"), "bars": (("n_bar",), (), "n_words"), "top": (("n_top",), (), "n_words"),
+    "stops": (("n_stops",), (), "n_words"), "odd": (("n_odd",), (), "n_words"), "doubled": (("n_doubled",), (), "n_words"),
+}
+FEATURES = tuple(FORMULAS)
 _UPPER = bytes(range(65, 91))
 _DIGITS = bytes(range(48, 58))
 _ODD = b"{}[]\\^~_=@`/+"
@@ -59,17 +66,23 @@ def statistics(documents: DataFrame) -> DataFrame:
     return stage(arrow_rows(documents, ["doc_id", "text"], ", ".join(["doc_id bigint", *(f"{c} bigint" for c in COUNTS)]), run), "statistics")
 
 
-def features() -> dict[str, Column]:
+def shares(rows: list[tuple[int, ...]]) -> np.ndarray:
+    """The features of rows of counts; the same as ``features`` in Spark."""
+    table = dict(zip(COUNTS, np.array(rows, float).reshape(-1, len(COUNTS)).T))
+    out = []
+    for plus, minus, under in FORMULAS.values():
+        top = sum(table[c] for c in plus) - sum(table[c] for c in minus)
+        out.append(top if under is None else np.divide(top, table[under], out=np.zeros(len(rows)), where=table[under] != 0))
+    return np.stack(out, axis=1)
+
+
+def features(prefix: str = "") -> dict[str, Column]:
     """The statistics that models look at: shares, so that they mean the same for short and long texts."""
-    def share(a: str, b: str) -> Column:
-        return F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b)), F.lit(0.0))
-
-    return {
-        "n_words": F.col("n_words").cast("double"), "mean_word": F.coalesce(F.try_divide((F.col("word_chars") - F.col("n_symbols") - F.col("n_exclaim") - F.col("n_stops")).cast("double"), F.col("n_words")), F.lit(0.0)), "symbols": share("n_symbols", "n_words"), "dup_lines": share("n_dup_lines", "n_lines"),
-        "repeats": share("n_repeat_words", "n_words"), "line_words": share("n_words", "n_lines"), "upper": share("n_upper", "n_chars"), "digits": share("n_digits", "n_chars"),
-        "exclaim": share("n_exclaim", "n_words"), "bars": share("n_bar", "n_words"), "top": share("n_top", "n_words"),
-        "stops": share("n_stops", "n_words"), "odd": share("n_odd", "n_words"), "doubled": share("n_doubled", "n_words"),
-    }
+    def of(plus: tuple, minus: tuple, under: str | None) -> Column:
+        top = sum((F.col(prefix + c) for c in plus), F.lit(0)) - sum((F.col(prefix + c) for c in minus), F.lit(0))
+        return top.cast("double") if under is None else F.coalesce(F.try_divide(top.cast("double"), F.col(prefix + under)), F.lit(0.0))
+
+    return {name: of(*formula) for name, formula in FORMULAS.items()}
 
 
 def labelled(stats: DataFrame, labels: DataFrame, learn: Column, rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray]:
