@@ -46,13 +46,14 @@ def interpolate_clamped(left: DataFrame, source: DataFrame, s: Series, cols: Seq
 POSE = ("tx", "ty", "tz", "qx", "qy", "qz", "qw")
 
 
-def interpolate_pose(left: DataFrame, poses: DataFrame, s: Series, *, clamp: bool = True, names: Sequence[str] = POSE) -> DataFrame:
+def interpolate_pose(left: DataFrame, poses: DataFrame, s: Series, *, clamp: bool = True, names: Sequence[str] = POSE, tie: str | None = None) -> DataFrame:
     """W15 (``clamp``) and W16: pose at each time by shortest-path SLERP and linear translation.
 
-    Repeated pose times keep one row. Without ``clamp`` times outside the trajectory give null, as does a series
+    Of repeated pose times the row with the smallest ``tie`` stays, without that column the smallest pose. Without ``clamp`` times outside the trajectory give null, as does a series
     with a single time for any other time.
     """
-    first = poses.groupBy(*s.keys, s.ts).agg(*[F.first(c).alias(c) for c in names])
+    first = poses.groupBy(*s.keys, s.ts).agg(F.min(F.struct(*([tie] if tie else []), *names)).alias("_m"))
+    first = first.select(*s.keys, s.ts, *[F.col(f"_m.{c}").alias(c) for c in names])
     rows = bracket_join(left, first, s, names, prev="_p", nxt="_n")
     p = F.coalesce("_p", "_n") if clamp else F.col("_p")
     n = F.coalesce("_n", "_p") if clamp else F.col("_n")

@@ -74,27 +74,36 @@ def weighted_merge(blocks: DataFrame, keys: Sequence[str], metrics: Sequence[str
     return blocks.groupBy(*keys).agg(F.sum(w).alias(n), *[merged(c) for c in metrics])
 
 
-# Multiplier and modulus of the minimal standard generator.
-_MUL, _MOD = 48271, 2147483647
+# Weights come from 32-bit words; multipliers are below 2^31, so that products stay inside a signed long in every engine.
+WORD = (1 << 32) - 1
+MIX = ((16, 0x7FEB352D), (15, 0x046D9F3B), (16, 0x2C1B3C6D))
+SPREAD = 0x61C88647
 
 
-def _poisson_steps(limit: int = 9) -> list[float]:
-    """Cumulative probabilities of a Poisson variable of mean one."""
-    out, p = [], float(np.exp(-1.0))
-    total = 0.0
-    for k in range(limit):
+def poisson_steps() -> list[int]:
+    """Where the cumulative probability of a Poisson variable of mean one passes a 32-bit word, as far as words can tell."""
+    out, p, total, k = [], float(np.exp(-1.0)), 0.0, 0
+    while p * (WORD + 1) >= 1:
         total += p
-        out.append(total)
-        p /= k + 1
+        out.append(min(WORD, int(total * (WORD + 1))))
+        k += 1
+        p /= k
     return out
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """32-bit words mixed by xor-shifts and wrapping products: no line through inputs stays a line."""
+    for shift, times in MIX:
+        x = (x ^ (x >> np.uint32(shift))) * np.uint32(times)
+    return x ^ (x >> np.uint32(15))
+
+
 def resample_weight(row: np.ndarray, replicate: np.ndarray) -> np.ndarray:
     """Weight of a row in a bootstrap replicate: Poisson(1) from a hash of both, the same on every run and layout."""
-    x = ((row % _MOD) * 1009 + replicate * 7919 + 1) % _MOD
-    for _ in range(3):
-        x = (x * _MUL + 12345) % _MOD
-    return np.searchsorted(np.array(_poisson_steps()), x / _MOD, side="right")
+    low, high = (row & WORD).astype("uint32"), ((row >> 32) & WORD).astype("uint32")
+    own = _mixed(_mixed(low) ^ high)
+    turn = _mixed((replicate * SPREAD + 1 & WORD).astype("uint32"))
+    return np.searchsorted(np.array(poisson_steps(), "uint32"), _mixed(own + turn), side="right")
 
 
 def bootstrap_rmse(df: DataFrame, keys: Sequence[str], row_id: str, y: str, yhat: str, replicates: int = 2000) -> DataFrame:
@@ -118,8 +127,8 @@ def bootstrap_rmse(df: DataFrame, keys: Sequence[str], row_id: str, y: str, yhat
             groups = [((), pdf)] if not keys else pdf.groupby(list(keys), dropna=False)
             for key, g in groups:
                 sums = acc.setdefault(key, np.zeros((2, replicates)))
-                for start in range(0, len(g), 512):
-                    part = g.iloc[start: start + 512]
+                for start in range(0, len(g), 128):
+                    part = g.iloc[start: start + 128]
                     w = resample_weight(part["_id"].to_numpy("int64")[:, None], reps).astype(float)
                     sums[0] += w.sum(axis=0)
                     sums[1] += part["_e"].to_numpy(float) @ w
@@ -207,7 +216,7 @@ def mean_transform(df: DataFrame, keys: Sequence[str], row_id: str, rotation: Se
     tagged = attach(tagged, size, keys).withColumn(
         "_blk", F.pmod(F.col("_h"), F.ceil(F.col("_n") / block)).cast("int")
     )
-    blocks = stage(tagged.groupBy(*keys, "_blk").agg(F.collect_list("_id").alias("ids"), F.collect_list("_r").alias("rs"), F.first("_n").alias("_n")))
+    blocks = stage(tagged.groupBy(*keys, "_blk").agg(F.collect_list(F.struct("_id", "_r")).alias("_m"), F.first("_n").alias("_n")).select(*keys, "_blk", F.col("_m._id").alias("ids"), F.col("_m._r").alias("rs"), "_n"))
     left = blocks.select(*keys, "ids", F.col("rs").alias("a"), "_n")
     right = blocks.select(*[F.col(k).alias(f"_r_{k}") for k in keys], F.col("rs").alias("b"))
     cond = F.lit(True)

@@ -21,11 +21,22 @@ BOUNDED_ROWS = 60_000
 _BINS = 256.0
 
 
+# Bins of what no distance can be taken of, in order; all others lie between.
+_LAST = 1 << 40
+
+
+def _finite(x: Column) -> Column:
+    return F.when(F.abs(x) <= F.lit(1.7976931348623157e308), x)
+
+
 def _bin(x: Column, center: Column) -> Column:
-    """Non-decreasing integer bin of ``x``: fine next to ``center``, logarithmic away from it."""
-    d = x.cast("double") - center
-    reach = F.floor(F.log(F.abs(d)) * _BINS).cast("bigint") + F.lit(1_000_000)
-    return F.when(d == 0, F.lit(0).cast("bigint")).when(d > 0, reach).otherwise(-reach)
+    """Non-decreasing integer bin of ``x``: fine next to ``center``, logarithmic away from it; infinities and NaN have their own."""
+    x = x.cast("double")
+    d = x - center
+    reach = F.floor(F.log(F.least(F.abs(d), F.lit(1.7976931348623157e308))) * _BINS).cast("bigint") + F.lit(1_000_000)
+    last = F.lit(_LAST).cast("bigint")
+    inner = F.when(d == 0, F.lit(0).cast("bigint")).when(d > 0, reach).otherwise(-reach)
+    return F.when(F.isnan(x), last + 1).when(x == float("inf"), last).when(x == float("-inf"), -last).when(x.isNotNull(), inner)
 
 
 def _keys_match(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> Column:
@@ -40,6 +51,7 @@ def exact_quantiles(
 ) -> DataFrame:
     """One row per group with linearly interpolated quantiles, as ``percentile`` gives them.
 
+    NaN ranks above everything, as in ``percentile``; both ways of counting give the same for any values.
     ``wanted`` maps an output name to ``(value, probability)``; null values are ignored, groups without any value
     get null. Use ``exact_medians`` for medians.
     """
@@ -57,7 +69,7 @@ def exact_quantiles(
     heads = base.groupBy(*keys).agg(
         *[F.count(f"_v{i}").alias(f"_n{i}") for i in range(len(names))],
         *[
-            F.percentile_approx(F.col(f"_v{i}").cast("double"), float(wanted[n][1]), 1000).alias(f"_c{i}")
+            F.coalesce(F.percentile_approx(_finite(F.col(f"_v{i}").cast("double")), float(wanted[n][1]), 1000), F.lit(0.0)).alias(f"_c{i}")
             for i, n in enumerate(names)
         ],
     )
@@ -118,8 +130,13 @@ def exact_medians(df: DataFrame, keys: Sequence[str], values: dict[str, Column])
     return exact_quantiles(df, keys, {n: (v, 0.5) for n, v in values.items()})
 
 
-def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``df`` with the per-group columns of ``stats``; Spark broadcasts ``stats`` only when its size allows it."""
+def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str], written: bool = False) -> DataFrame:
+    """``df`` with the per-group columns of ``stats``.
+
+    The statistics are written first: with a known size Spark broadcasts them when that is small, and ``df`` is not moved. ``written`` says that they come from such a table already.
+    """
+    if keys and not written:
+        stats = stage(stats, "attached")
     side = stats.select(*[F.col(k).alias(f"_g_{k}") for k in keys], *[c for c in stats.columns if c not in keys])
     if not keys:
         # One row of totals: its size is fixed.

@@ -94,7 +94,7 @@ def percentile_gate(df: DataFrame, keys: Sequence[str], gates: dict[str, float])
 def farthest_points(df: DataFrame, keys: Sequence[str], order: str, vector: str, k: int, every: int = 4) -> DataFrame:
     """``k`` rows per group, each the farthest from those before it; starts at the first by ``order``.
 
-    Groups of at most ``k`` rows are taken whole. A row equal to a chosen one is not chosen as well.
+    Groups of at most ``k`` rows are taken whole. Where all that is left equals chosen rows, the first of them by ``order`` follow.
 
     A round is one aggregate that yields one row per group. Distances are carried along and written out every few
     rounds, so neither the plan nor the work per round grows with ``k``.
@@ -108,17 +108,18 @@ def farthest_points(df: DataFrame, keys: Sequence[str], order: str, vector: str,
     rows = base.where(F.col("_n") > k).drop("_n").withColumn("_d", F.lit(float("inf")))
     for i in range(k):
         rank = F.struct(F.col("_d"), -F.col(order)) if i else F.struct((-F.col(order)).alias("o"))
-        best = rows.where("_d > 0").groupBy(*keys).agg(F.max_by(F.struct(order, vector), rank).alias("_p"))
+        best = rows.where("_d >= 0").groupBy(*keys).agg(F.max_by(F.struct(order, vector), rank).alias("_p"))
         best = stage(best.select(*keys, F.col(f"_p.{order}").alias("_po"), F.col(f"_p.{vector}").alias("_pv")))
         one = best.select(*keys, F.col("_po").alias(order), F.lit(i).alias("pick"))
         picks = picks.unionByName(one)
         if i + 1 == k:
             break
-        near = attach(rows, best, keys)
+        near = attach(rows, best, keys, written=True)
         dist = F.sqrt(F.aggregate(
             F.zip_with(vector, "_pv", lambda a, b: F.pow(a.cast("double") - b.cast("double"), F.lit(2.0))), F.lit(0.0), lambda x, y: x + y
         ))
-        rows = near.withColumn("_d", F.least("_d", F.coalesce(dist, F.lit(0.0)))).drop("_po", "_pv")
+        chosen = F.col(order) == F.col("_po")
+        rows = near.withColumn("_d", F.when(chosen, -1.0).otherwise(F.least("_d", F.coalesce(dist, F.lit(0.0))))).drop("_po", "_pv")
         if (i + 1) % every == 0:
             rows = stage(rows)
     return picks

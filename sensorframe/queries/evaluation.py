@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sensorframe.operators import metrics, selection
-from sensorframe.operators.metrics import _poisson_steps
 from sensorframe.operators.ordered import DAY_NS, Series
 from sensorframe.queries.registry import HOUR_NS, SAMPLES, ns, query, r6, samples, table
 
@@ -69,20 +68,32 @@ def weighted_merge(spark, sf):
     return out.select("mode", "head", "split", "n", r6("rmse").alias("rmse"), r6("mae").alias("mae"))
 
 
-_STEPS = ", ".join(repr(x) for x in _poisson_steps())
+def _steps_sql(name: str, source: str, column: str, keep: str) -> str:
+    """One mixing as a chain of subqueries, each shift and product a step of its own."""
+    out, at = [], source
+    for i, (shift, times) in enumerate(metrics.MIX):
+        out.append(f"{name}{i} AS (SELECT {keep}, (xor({column}, {column} >> {shift}) * {times}) & {metrics.WORD} AS {column} FROM {at})")
+        at = f"{name}{i}"
+    out.append(f"{name} AS (SELECT {keep}, xor({column}, {column} >> 15) AS {column} FROM {at})")
+    return ", ".join(out)
+
+
+_REPLICATES = 2000
+_WEIGHT = " + ".join(f"CAST(x >= {t} AS INTEGER)" for t in metrics.poisson_steps())
 
 
 @query("bootstrap_ci", f"""{_PRED}, e AS (SELECT flag, id, pow(yhat-y, 2) AS e FROM p),
-h0 AS (SELECT flag, e, b, ((id % 2147483647)*1009 + b*7919 + 1) % 2147483647 AS x FROM e, range(100) t(b)),
-h1 AS (SELECT flag, e, b, (x*48271 + 12345) % 2147483647 AS x FROM h0), h2 AS (SELECT flag, e, b, (x*48271 + 12345) % 2147483647 AS x FROM h1),
-h3 AS (SELECT flag, e, b, (x*48271 + 12345) % 2147483647 AS x FROM h2),
-w AS (SELECT flag, e, b, len(list_filter([{_STEPS}], lambda c: c <= x/2147483647.0)) AS w FROM h3),
+r AS (SELECT flag, e, (id >> 32) & {metrics.WORD} AS high, id & {metrics.WORD} AS x FROM e), {_steps_sql('ra', 'r', 'x', 'flag, e, high')},
+rb AS (SELECT flag, e, xor(x, high) AS x FROM ra), {_steps_sql('rc', 'rb', 'x', 'flag, e')},
+t AS (SELECT b, (b * {metrics.SPREAD} + 1) & {metrics.WORD} AS x FROM range({_REPLICATES}) t(b)), {_steps_sql('ta', 't', 'x', 'b')},
+m AS (SELECT rc.flag, rc.e, ta.b, (rc.x + ta.x) & {metrics.WORD} AS x FROM rc, ta), {_steps_sql('ma', 'm', 'x', 'flag, e, b')},
+w AS (SELECT flag, e, b, {_WEIGHT} AS w FROM ma),
 s AS (SELECT flag, b, sqrt(sum(w*e)/sum(w)) AS s FROM w GROUP BY flag, b),
 c AS (SELECT flag, quantile_cont(s, 0.025) AS lo, quantile_cont(s, 0.975) AS hi FROM s GROUP BY flag),
-t AS (SELECT flag, count(*) AS n, sqrt(avg(e)) AS rmse FROM e GROUP BY flag)
-SELECT flag, n, round(rmse, 6)+0.0 AS rmse, round(lo, 6)+0.0 AS ci_low, round(hi, 6)+0.0 AS ci_high, round((hi-lo)/2, 6)+0.0 AS ci_halfwidth FROM t JOIN c USING (flag)""")
+z AS (SELECT flag, count(*) AS n, sqrt(avg(e)) AS rmse FROM e GROUP BY flag)
+SELECT flag, n, round(rmse, 6)+0.0 AS rmse, round(lo, 6)+0.0 AS ci_low, round(hi, 6)+0.0 AS ci_high, round((hi-lo)/2, 6)+0.0 AS ci_halfwidth FROM z JOIN c USING (flag)""")
 def bootstrap_ci(spark, sf):
-    out = metrics.bootstrap_rmse(_pred(spark, sf), ["flag"], "id", "y", "yhat", 100)
+    out = metrics.bootstrap_rmse(_pred(spark, sf), ["flag"], "id", "y", "yhat", _REPLICATES)
     return out.select("flag", "n", *[r6(c).alias(c) for c in ("rmse", "ci_low", "ci_high", "ci_halfwidth")])
 
 

@@ -328,3 +328,55 @@ def test_compensated_wrench_of_a_free_tool_is_zero(spark):
     ).toPandas()
     assert len(out) == n
     np.testing.assert_allclose(out[[f"ext_{c}_filt" for c in ("fx", "fy", "fz", "tx", "ty", "tz")]], 0.0, atol=1e-5)
+
+
+def test_resampling_weights_are_independent():
+    from sensorframe.operators.metrics import resample_weight
+
+    rows, reps = np.arange(5000)[:, None], np.arange(400)[None, :]
+    w = resample_weight(rows, reps).astype(float)
+    assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02
+    # The total weight of a replicate spreads as a sum of independent weights does.
+    assert abs(w.sum(axis=0).std() / 5000**0.5 - 1) < 0.12
+    for lag in (1, 7, 100):
+        assert abs(np.corrcoef(w[:, lag:].ravel(), w[:, :-lag].ravel())[0, 1]) < 0.01
+        assert abs(np.corrcoef(w[lag:].ravel(), w[:-lag].ravel())[0, 1]) < 0.01
+    far = resample_weight(rows + (1 << 40), reps)
+    assert (far != w).mean() > 0.3
+
+
+def test_bootstrap_interval_is_that_of_plain_resampling(spark):
+    from sensorframe.operators.metrics import bootstrap_rmse
+
+    rng = np.random.default_rng(5)
+    # An error that drifts along the series, on consecutive ids.
+    e = np.linspace(0, 2, 2000) + rng.normal(0, 0.5, 2000)
+    df = spark.createDataFrame([(i, 0.0, float(x)) for i, x in enumerate(e)], "id bigint, y double, yhat double")
+    got = bootstrap_rmse(df, [], "id", "y", "yhat", 2000).first()
+    plain = np.sqrt((e[rng.integers(0, 2000, (2000, 2000))] ** 2).mean(axis=1))
+    low, high = np.percentile(plain, [2.5, 97.5])
+    assert abs(got.ci_halfwidth / ((high - low) / 2) - 1) < 0.1
+    assert abs(got.ci_low - low) < 0.1 * (high - low) and abs(got.ci_high - high) < 0.1 * (high - low)
+
+
+def test_quantiles_with_nan_and_infinities_are_the_same_for_any_size(spark):
+    from sensorframe.operators.quantiles import exact_quantiles
+
+    nan, inf = float("nan"), float("inf")
+    groups = {
+        "plain": [float(i) for i in range(1, 10)], "up": [*map(float, range(1, 10)), inf], "nan": [*map(float, range(1, 10)), *[nan] * 4], "low": [-inf, -inf, 0.0, 1.0],
+        "all": [-inf, inf, nan, 0.0, -0.0, 1e308, -1e308, 5e-324], "none": [None, None], "only": [nan, nan], "ends": [-inf, inf],
+    }
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, v double")
+    wanted = {f"q{int(100 * p)}": (df["v"], p) for p in (0.0, 0.25, 0.5, 0.9, 1.0)}
+    small = exact_quantiles(df, ["g"], wanted, 60_000).collect()
+    large = exact_quantiles(df, ["g"], wanted, 0).collect()
+    assert sorted(map(repr, small)) == sorted(map(repr, large))
+
+
+def test_farthest_rows_of_equal_vectors(spark):
+    from sensorframe.operators.selection import farthest_points
+
+    df = spark.createDataFrame([(i, [0.0, 0.0] if i < 6 else [1.0, 0.0]) for i in range(9)], "id bigint, v array<double>")
+    got = farthest_points(df.selectExpr("1 as g", "id", "v"), ["g"], "id", "v", 5).collect()
+    assert [r.id for r in sorted(got, key=lambda r: r.pick)] == [0, 6, 1, 2, 3]
