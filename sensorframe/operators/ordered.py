@@ -10,11 +10,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from sensorframe.session import stage
+
 HOUR_NS = 3_600_000_000_000
 DAY_NS = 24 * HOUR_NS
 # Most full cells of one level that are broadcast.
@@ -236,3 +239,21 @@ def rolling(df: DataFrame, s: Series, before: int, after: int, exprs, rows: int
     parts = chunked(df, s, before, after, rows)
     window = W.partitionBy(*s.keys, "_chunk").orderBy("rn")
     return parts.select("*", *exprs(window)).where(~F.col("_halo")).drop("_chunk", "_halo")
+
+
+def place_in_group(df: DataFrame, group: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
+    """``out``: position of each row in its group, from 0, by any sortable columns; a group of any size is spread over tasks.
+
+    Rows are sorted by range and numbered inside each range; the sizes of the ranges before and the first position of the group
+    do the rest. Rows that are equal in all of ``group`` and ``order`` come in any order.
+    """
+    ids = df.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order).withColumn("_m", F.monotonically_increasing_id())
+    rows = stage(ids.withColumn("_part", F.shiftright("_m", 33)).withColumn("_at", F.col("_m").bitwiseAND((1 << 33) - 1)).drop("_m"), "places")
+    # One row per range.
+    sizes = rows.groupBy("_part").agg(F.max("_at").alias("_last"))
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    begin = stage(sizes.select("_part", F.coalesce(F.sum(F.col("_last") + 1).over(before), F.lit(0)).alias("_begin")), "ranges")
+    placed = rows.join(begin, "_part").withColumn("_pos", F.col("_begin") + F.col("_at")).drop("_part", "_at", "_begin")
+    first = stage(placed.groupBy(*group).agg(F.min("_pos").alias("_first")), "firsts")
+    same = reduce(lambda a, k: a & placed[k].eqNullSafe(first[k]), group, F.lit(True))
+    return placed.join(first, same).select(*[placed[c] for c in df.columns], (F.col("_pos") - F.col("_first")).alias(out))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sensorframe.functions.text import archive_stem, is_hidden, is_metadata
-from sensorframe.operators.ordered import Series, number_rows
+from sensorframe.operators.ordered import place_in_group
 from sensorframe.operators.quantiles import attach
 from sensorframe.session import stage
 
@@ -18,12 +18,6 @@ from sensorframe.session import stage
 EXPECTED_MODULES = ("gripper", "hand", "wrist", "umi", "leica")
 
 
-def text_order(col: Column) -> Column:
-    """Leading seven bytes of a text as a number of the same order; ties need the text itself."""
-    head = F.hex(F.substring(F.encode(col, "utf-8"), 1, 7))
-    return F.conv(F.rpad(head, 14, "0"), 16, 10).cast("bigint")
-
-
 def _name_in_turn(pdf: pd.DataFrame) -> pd.DataFrame:
     """Names of one family in order: the wanted stem, or the first free numbered form of it."""
     used, out = set(), []
@@ -52,8 +46,7 @@ def resolve_stems(dirs: DataFrame, parent: Sequence[str]) -> DataFrame:
     rows = rows.withColumn("_root", F.regexp_replace("_want", r"(_\d+)+$", "")).withColumn("_fold", F.lower("name"))
     kinds = rows.groupBy(*parent, "_root").agg((F.min("_want") != F.max("_want")).alias("_mixed"))
     rows = stage(attach(rows, kinds, [*parent, "_root"]))
-    plain = rows.where(~F.col("_mixed")).withColumn("_ord", text_order(F.col("_fold")))
-    plain = number_rows(plain, Series([*parent, "_root"], ts="_ord", tie=("_fold", "name"), cell_ns=1 << 40), "_i").drop("_b", "_ord")
+    plain = place_in_group(rows.where(~F.col("_mixed")), [*parent, "_root"], ["_fold", "name"], "_i")
     plain = plain.withColumn("output_stem", F.when(F.col("_i") == 0, F.col("_want")).otherwise(F.concat("_want", F.lit("_"), (F.col("_i") + 1).cast("string")))).drop("_i")
     schema = T.StructType([*rows.schema.fields, T.StructField("output_stem", T.StringType())])
     mixed = rows.where("_mixed").groupBy(*parent, "_root").applyInPandas(_name_in_turn, schema)

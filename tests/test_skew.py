@@ -44,3 +44,16 @@ def test_hot_cell_broadcast(spark):
 def test_hot_cells_beyond_the_broadcast_limit(spark, monkeypatch):
     monkeypatch.setattr(ordered, "HOT_CELLS", 0)
     check(spark, hot_frame())
+
+
+def test_names_of_one_prefix_are_numbered_in_many_tasks(spark):
+    from sensorframe.operators.ordered import place_in_group
+
+    names = spark.range(20000).selectExpr("id % 2 as g", "concat('recording_000000', lpad(cast(id * 7919 % 20000 as string), 6, '0')) as name")
+    got = place_in_group(names, ["g"], ["name"], "i")
+    rows = sorted((r.g, r.name, r.i) for r in got.collect())
+    at = {}
+    for g, _, i in rows:
+        assert i == at.get(g, 0)
+        at[g] = i + 1
+    assert at == {0: 10000, 1: 10000}
