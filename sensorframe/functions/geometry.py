@@ -164,6 +164,11 @@ def project_safe(k: Vec, p: Vec, width: int, height: int, z_min: float = 1e-6) -
     return [F.when(ok, u), F.when(ok, v)]
 
 
+def to_radians(v: Vec) -> list[Column]:
+    """turn rates given in degrees."""
+    return [F.radians(c) for c in v]
+
+
 def scale_pixel(u: Column, v: Column, rgb_size: tuple[int, int], depth_size: tuple[int, int]) -> list[Column]:
     """Colour-image pixel in depth-image coordinates; sizes are (width, height)."""
     return [u * (depth_size[0] / rgb_size[0]), v * (depth_size[1] / rgb_size[1])]

@@ -79,9 +79,12 @@ def cut_topics(tables: dict[str, DataFrame], interval: tuple[int, int], ts: str
     return {name: time_range(df, *interval, ts) for name, df in tables.items()}
 
 
-def row_at(df: DataFrame, when: int, ts: str = "ts") -> DataFrame:
-    """The row at exactly one time."""
-    return df.where(F.col(ts) == when).limit(1)
+def row_at(df: DataFrame, when: int, ts: str = "ts", must: bool = False) -> DataFrame:
+    """The row at exactly one time; with ``must`` an absent time is an error at once."""
+    out = df.where(F.col(ts) == when).limit(1)
+    if must and out.isEmpty():
+        raise LookupError(f"no row at {ts} = {when}")
+    return out
 
 
 def suffix_number(name: Column) -> Column:

@@ -4,6 +4,7 @@ from sensorframe.queries import registry
 from sensorframe.queries import (  # noqa: F401  (registration)
     alignment,
     cloud,
+    columns,
     evaluation,
     geometry,
     release,

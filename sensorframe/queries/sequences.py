@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from sensorframe.operators import interp, intervals
 from sensorframe.operators.asof import asof_join, asof_many, bracket_join, sync_all
 from sensorframe.operators.ordered import DAY_NS, Series, number_rows, prev_next
+from sensorframe.operators.relational import every_nth
 from sensorframe.session import stage
 from sensorframe.queries.registry import (
     HOUR_NS, MIN_NS, REC, RIG, SAMPLES, ns, query, r6, rig, samples, table, topic,
@@ -442,8 +443,7 @@ def sampling_rate(spark, sf):
 @query("stride_sample", f"""WITH {SAMPLES}, n AS (SELECT event_id, recorder, row_number() OVER (PARTITION BY recorder ORDER BY ts)-1 AS k FROM samples)
 SELECT event_id, recorder FROM n WHERE k % 5 = 0""")
 def stride_sample(spark, sf):
-    # Every fifth row of a series is what the operator selects.
-    return number_rows(samples(spark, sf), REC).where("rn % 5 = 0").select("event_id", "recorder")
+    return every_nth(samples(spark, sf), REC, 5).select("event_id", "recorder")
 
 
 @query("keep_first_last", """WITH d AS (SELECT user_id AS recorder, date_trunc('day', ts) AS day, ts, event_id FROM events)
