@@ -217,9 +217,11 @@ def mean_transform(df: DataFrame, keys: Sequence[str], row_id: str, rotation: Se
         "_blk", F.pmod(F.col("_h"), F.ceil(F.col("_n") / block)).cast("int")
     )
     blocks = stage(tagged.groupBy(*keys, "_blk").agg(F.collect_list(F.struct("_id", "_r")).alias("_m"), F.first("_n").alias("_n")).select(*keys, "_blk", F.col("_m._id").alias("ids"), F.col("_m._r").alias("rs"), "_n"))
-    left = blocks.select(*keys, "ids", F.col("rs").alias("a"), "_n")
-    right = blocks.select(*[F.col(k).alias(f"_r_{k}") for k in keys], F.col("rs").alias("b"))
-    cond = F.lit(True)
+    left = blocks.select(*keys, "_blk", "ids", F.col("rs").alias("a"), "_n")
+    # Every block goes to every block number of its group: pairs meet by group and number, in as many tasks as there are blocks.
+    numbers = F.explode(F.sequence(F.lit(0), F.ceil(F.col("_n") / block).cast("int") - 1))
+    right = blocks.select(*[F.col(k).alias(f"_r_{k}") for k in keys], F.col("rs").alias("b"), numbers.alias("_to"))
+    cond = F.col("_blk") == F.col("_to")
     for k in keys:
         cond = cond & (F.col(k) == F.col(f"_r_{k}"))
     id_type = rows.schema[row_id].dataType

@@ -88,11 +88,12 @@ def cloud_difference(a: DataFrame, b: DataFrame, keys: Sequence[str], radius: fl
 
 def instance_summary(points: DataFrame, keys: Sequence[str], tile: str) -> DataFrame:
     """Point count, tiles and box of every instance; the number of tiles bounds the collected list."""
-    return points.groupBy(*keys).agg(
-        F.count("*").alias("n_points"), F.sort_array(F.collect_set(tile)).alias("tiles"), F.countDistinct(tile).alias("n_tiles"),
+    box = points.groupBy(*keys).agg(
+        F.count("*").alias("n_points"), F.sort_array(F.collect_set(tile)).alias("tiles"),
         *[F.min(c).alias(f"min_{c}") for c in XYZ], *[F.max(c).alias(f"max_{c}") for c in XYZ],
         *[F.avg(c).alias(f"center_{c}") for c in XYZ],
     )
+    return box.select(*keys, "n_points", "tiles", F.size("tiles").cast("bigint").alias("n_tiles"), *box.columns[len(keys) + 2:])
 
 
 def robust_center(points: DataFrame, keys: Sequence[str]) -> DataFrame:
