@@ -55,19 +55,26 @@ def common(a: list[str], b: list[str]) -> list[bool]:
     return shared
 
 
-def main_text(own: list[str], place: list[int], partners: list[list[str] | None]) -> str:
-    """A page's text without the lines shared with its partners' lines outside of articles."""
-    outside = [k for k, p in enumerate(place) if p != INSIDE]
-    rest = [own[k] for k in outside]
-    drop = [place[k] == DROPPED for k in outside]
+def deleted(outside: list[str], place: list[int], has_inside: bool, partners: list[list[str] | None]) -> list[int]:
+    """Which lines outside of articles go since a partner has them too, besides those that go by their place."""
+    drop = [False] * len(outside)
     for partner in partners:
         if partner:
-            shared = common(rest, partner)
+            shared = common(outside, partner)
             # A page that would lose everything is a copy of its neighbour, which tells nothing.
-            if not (len(outside) == len(own) and all(s or place[k] == DROPPED for s, k in zip(shared, outside))):
+            if has_inside or not all(s or p == DROPPED for s, p in zip(shared, place)):
                 drop = [d or s for d, s in zip(drop, shared)]
-    gone = {k for k, d in zip(outside, drop) if d}
-    return "\n\n".join(x for k, x in enumerate(own) if k not in gone)
+    return [k for k, (d, p) in enumerate(zip(drop, place)) if d and p != DROPPED]
+
+
+def main_text(own: list[str], place: list[int], gone: list[int] | None) -> str:
+    """A page's text without lines beside the article and without the deleted ones, which are numbered among those outside."""
+    out, k, gone = [], 0, set(gone or ())
+    for x, p in zip(own, place):
+        if p == INSIDE or p != DROPPED and k not in gone:
+            out.append(x)
+        k += p != INSIDE
+    return "\n\n".join(out)
 
 
 def _numbered(df: DataFrame, order: list[str]) -> DataFrame:
@@ -120,16 +127,25 @@ def extract(pages: DataFrame) -> DataFrame:
     schema = "page_id bigint, url string, uid bigint, host string, path string, lines array<string>, place array<int>"
     split = stage(arrow_rows(pages, ["page_id", "url", "html"], schema, run), "lines")
     place = _numbered(split.select("host", "path", "page_id", "url", "uid"), ["host", "path", "url", "page_id", "uid"])
-    # The lines outside of articles go to the two neighbours in order.
+    # Only the lines outside of articles are moved: to the two neighbours in order, and beside their own.
+    where = F.filter("place", lambda p: p != INSIDE).alias("outside_place")
     outside = F.filter("lines", lambda x, i: F.get("place", i) != INSIDE).alias("outside")
-    beside = split.select("uid", outside).join(place, "uid").select("pos", "host", "outside")
+    own = split.select("uid", outside, where, F.exists("place", lambda p: p == INSIDE).alias("has_inside")).join(place, "uid")
     both = F.array(F.struct((F.col("pos") + 1).alias("to"), F.lit(0).alias("side")), F.struct((F.col("pos") - 1).alias("to"), F.lit(1).alias("side")))
-    sent = beside.select(F.explode(both).alias("go"), "host", "outside").select(F.col("go.to").alias("pos"), "go.side", "host", "outside")
-    got = place.join(sent, ["pos", "host"]).groupBy("uid").agg(*(F.max(F.when(F.col("side") == k, F.col("outside"))).alias(f"side{k}") for k in (0, 1)))
-    met = split.select("page_id", "url", "uid", "lines", "place").join(got, "uid", "left")
+    sent = own.where(F.size("outside") > 0).select(F.explode(both).alias("go"), "host", "outside").select(F.col("go.to").alias("pos"), "go.side", "host", "outside")
+    got = sent.groupBy("pos", "host").agg(*(F.max(F.when(F.col("side") == k, F.col("outside"))).alias(f"side{k}") for k in (0, 1)))
+    met = own.join(got, ["pos", "host"])
+
+    def compare(uid, lines_, place_, inside, before, after):
+        return {"uid": uid, "gone": [deleted(*x[:3], list(x[3:])) for x in zip(lines_, place_, inside, before, after)]}
+
+    gone = arrow_rows(met, ["uid", "outside", "outside_place", "has_inside", "side0", "side1"], "uid bigint, gone array<int>", compare)
+    # Written, so that its size is known: where few pages have such lines, the page texts are not moved for the join.
+    gone = stage(gone.where(F.size("gone") > 0), "gone")
+    done = split.select("page_id", "url", "uid", "lines", "place").join(gone, "uid", "left")
 
-    def finish(page_id, url, own, where, before, after):
-        text = [main_text(*x[:2], list(x[2:])) for x in zip(own, where, before, after)]
+    def finish(page_id, url, own_lines, where_, gone_):
+        text = [main_text(*x) for x in zip(own_lines, where_, gone_)]
         return {"page_id": page_id, "url": url, "text": text, "n_chars": [len(t) for t in text]}
 
-    return arrow_rows(met, ["page_id", "url", "lines", "place", "side0", "side1"], "page_id bigint, url string, text string, n_chars bigint", finish)
+    return arrow_rows(done, ["page_id", "url", "lines", "place", "gone"], "page_id bigint, url string, text string, n_chars bigint", finish)
