@@ -21,8 +21,10 @@ BLOCK_QUERIES = 128
 # Groups that vectors are dealt into, each of which meets each block of queries.
 DEALT = 64
 # Scaled components beyond this have no safe long product.
-LIMIT = 1 << 27
-STEPS = 8
+LIMIT = 1 << 24
+# How far into the lists bounds are taken, and how few vectors left are resolved at once.
+DEPTHS = (0.5, 0.9, 1.0)
+FEW = 64
 _BLOCK = "dim int, rows int, ids binary, vectors binary"
 
 
@@ -59,50 +61,46 @@ class SortedLists:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.vectors = ids, vectors
-        self.order = np.argsort(vectors, axis=0, kind="stable")
-        self.values = np.take_along_axis(vectors, self.order, axis=0)
+        order = np.argsort(vectors, axis=0, kind="stable")
+        self.place = np.empty(order.shape, np.int32)
+        np.put_along_axis(self.place, order, np.arange(len(ids), dtype=np.int32)[:, None], axis=0)
+        self.values = np.take_along_axis(vectors, order, axis=0)
+        self.floats = vectors.astype(np.float64)
+        self.largest = int(np.abs(vectors).max(initial=0))
 
     def best(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best for a query, ties to the smaller id; its own id is left out."""
         n = len(self.ids)
-        alive = self.ids != own
-        used = np.flatnonzero(query)
-        q = query[used]
-        # Each list from its better end: the largest value for a positive weight, the smallest for a negative one.
-        order = np.where(q > 0, self.order[::-1, used], self.order[:, used])
-        reached = np.where(q > 0, self.values[::-1, used], self.values[:, used]) * q
-        worst = reached[-1] if len(used) else np.zeros(0, np.int64)
-        read = np.zeros((n, len(used)), bool)
-        sums = np.zeros(n, np.int64)
-        columns = np.broadcast_to(np.arange(len(used)), order.shape)
-        shortlist = 2 * k + 8
-        low = 0
-        for step in range(1, STEPS + 1):
-            if alive.sum() <= shortlist or not len(used):
-                break
-            high = n * step // STEPS
-            if high == low:
+        rows = np.flatnonzero(self.ids != own)
+        # Floating numbers are faster, and exact while all sums stay below 2^53.
+        exact = len(query) * self.largest * int(np.abs(query).max(initial=0)) < 1 << 53
+        kind = np.float64 if exact else np.int64
+        q = query.astype(kind)
+        # Each list is read from its better end: the largest value for a positive weight, the smallest for a negative one.
+        up = query > 0
+        place = np.where(up, n - 1 - self.place, self.place)[rows]
+        part = ((self.floats if exact else self.vectors) * q)[rows]
+        worst = np.where(up, self.values[0], self.values[-1]) * q
+        for depth in DEPTHS:
+            high = int(n * depth)
+            if len(rows) <= max(2 * k, FEW) or not high:
                 continue
-            rows = order[low:high].ravel()
-            read[rows, columns[low:high].ravel()] = True
-            np.add.at(sums, rows, reached[low:high].ravel())
-            low = high
-            now = reached[high - 1]
-            unread = (~read).astype(np.int64)
+            read = place < high
+            unread = (~read).astype(kind)
+            sums = np.where(read, part, 0).sum(axis=1)
+            now = np.where(up, self.values[n - high], self.values[high - 1]) * q
             least, most = sums + unread @ worst, sums + unread @ now
-            inside = least[alive]
-            if len(inside) > k:
-                alive &= most >= np.partition(inside, len(inside) - k)[len(inside) - k]
-        rest = np.flatnonzero(alive)
-        score = self.vectors[rest] @ query
-        first = np.lexsort((self.ids[rest], -score))[:k]
-        return self.ids[rest][first], score[first]
+            stays = most >= np.partition(least, len(least) - k)[len(least) - k]
+            rows, place, part = rows[stays], place[stays], part[stays]
+        score = self.vectors[rows] @ query
+        first = np.lexsort((self.ids[rows], -score))[:k]
+        return self.ids[rows][first], score[first]
 
 
 def top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, scale: int = 1024) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k vectors of the largest integer inner product with each query.
 
-    Components count as floor(scale * x). Vectors that are null, empty, or hold null, non-finite or (scaled) 2^27 or larger
+    Components count as floor(scale * x). Vectors that are null, empty, or hold null, non-finite or (scaled) 2^24 or larger
     components take no part, nor do rows without vec_id; a query meets vectors of its own length only. A query never meets
     rows of its own vec_id. Repeated rows of ``vectors`` are candidates each; repeated equal rows of ``queries`` are asked once.
     Ties go to the smaller vec_id.

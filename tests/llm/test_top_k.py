@@ -11,7 +11,7 @@ from sensorframe.llm import top_k
 
 def brute(rows, queries, k, scale):
     def scaled(v):
-        if not v or any(x is None or not math.isfinite(x) or abs(math.floor(scale * x)) >= 2**27 for x in v):
+        if not v or any(x is None or not math.isfinite(x) or abs(math.floor(scale * x)) >= 2**24 for x in v):
             return None
         return [math.floor(scale * float(x)) for x in v]
 
