@@ -2,6 +2,7 @@
 
 import math
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -55,3 +56,30 @@ def test_reading_stops_early():
     got, score = top_k.SortedLists(ids, vectors).best(-1, base.astype(np.int64), 10)
     want = np.lexsort((ids, -(vectors @ base)))[:10]
     assert (got == want).all() and (score == (vectors @ base)[want]).all()
+
+
+def whole_scores(rows, queries, k, scale=1024):
+    """Brute force over all finite vectors, whatever their size; scores that no long holds are null."""
+    def scaled(v):
+        return None if not v or any(x is None or not math.isfinite(x) for x in v) else [math.floor(Fraction(x) * scale) for x in v]
+
+    good = [(i, e) for i, v in rows if (e := scaled(v)) is not None]
+    out = []
+    for q, e in {(i, tuple(e)) for i, v in queries if (e := scaled(v)) is not None}:
+        scores = sorted((-sum(a * b for a, b in zip(e, f)), i) for i, f in good if i != q and len(f) == len(e))[:k]
+        out += [(q, r + 1, i, -s if -2**63 <= -s < 2**63 else None) for r, (s, i) in enumerate(scores)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_components_of_any_size(spark, kind, monkeypatch):
+    monkeypatch.setattr(top_k, "BLOCK_VALUES", 40 * 5)
+    pick = random.Random(5)
+    sizes = [0.4, 1e3, 16384.0, 3e5, 2.0**21, 1e8, 2.0**53, 1e18, 1e30] + ([1e200, 1.7e308] if kind == "double" else [])
+    cast = (lambda x: float(np.float32(x))) if kind == "float" else float
+    rows = [(i, [cast(pick.uniform(-1, 1) * pick.choice(sizes[:i % len(sizes) + 1])) for _ in range(5)]) for i in range(300)]
+    rows += [(1000 + i, [cast(x)] * 5) for i, x in enumerate([2.0**14, -(2.0**14), 2.0**21, -(2.0**53), 1e30, -1e30, 1e30])]
+    rows += [(2000, [math.inf] * 5), (2001, [math.nan] * 5)]
+    df = spark.createDataFrame(rows, f"vec_id bigint, embedding array<{kind}>").repartition(3)
+    got = sorted((tuple(r) for r in top_k.top_k(df.where("vec_id % 10 = 0 or vec_id >= 1000"), df, 10).collect()), key=lambda r: r[:2])
+    assert got == whole_scores(rows, [r for r in rows if r[0] % 10 == 0 or r[0] >= 1000], 10)
