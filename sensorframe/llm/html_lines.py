@@ -19,13 +19,15 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _LOOSE = frozenset("p li dt dd tr td th option thead tbody tfoot colgroup".split())
 _MAIN = frozenset(("article", "main"))
 _BESIDE = frozenset("nav footer header aside form menu button select dialog".split())
+# Whole names in a class or id; words in longer names (has-sidebar, entry-header, social-history) tell nothing.
 _NAMES = re.compile(
-    r"^(?:ads?|adverts?|advertisements?|advertising|banners?|breadcrumbs?|comments?|cookies?|consent|disqus|footers?|headers?|masthead|menus?|nav|navbar|navigation|newsletter|notices?|popups?|promos?|promoted|related|replies"
-    r"|share|sharing|sidebars?|social|sponsor|sponsored|subscribe|toolbar|widgets?)$"
+    r"(?:ads?|adverts?|advertisements?|advertising|banners?|breadcrumbs?|comments?|cookies?|cookie-(?:banner|consent|notice)|consent|disqus|footers?|headers?|masthead|menus?|nav|navbar|navigation|newsletter|notices?|popups?|promos?|promoted"
+    r"|related|replies|share|sharing|sidebars?|social|sponsor|sponsored|subscribe|toolbar|widgets?)"
 )
+# Inside an article only what others wrote goes by its name.
+_NAMES_IN_MAIN = re.compile(r"comments?")
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar toolbar".split())
 _ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden)\s*+(?:=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?", re.I)
-_WORDS = re.compile(r"[a-z]+")
 
 
 def _beside(tag: str, rest: str, in_main: bool) -> bool:
@@ -38,7 +40,7 @@ def _beside(tag: str, rest: str, in_main: bool) -> bool:
         name, value = name.lower(), a or b or c
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "role" and value.lower() in _ROLES:
             return True
-        if name in ("class", "id") and tag not in ("body", "html", "article", "main") and any(_NAMES.match(w) for w in _WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())):
+        if name in ("class", "id") and tag not in ("body", "html", "article", "main") and any((_NAMES_IN_MAIN if in_main else _NAMES).fullmatch(w) for w in value.lower().split()):
             return True
     return False
 
@@ -46,21 +48,25 @@ def _beside(tag: str, rest: str, in_main: bool) -> bool:
 def lines(html: str | None) -> list[tuple[str, int]]:
     """Text blocks in page order with their place: in the article, in an element beside it, or elsewhere.
 
-    Character references are decoded, white space in a block is one blank, empty blocks are left out.
+    An element that encloses an article is never beside it. Character references are decoded, white space in a block is one
+    blank, empty blocks are left out.
     """
-    out: list[tuple[str, int]] = []
     if not html:
-        return out
+        return []
+    # Each line with the elements beside the article that it is in, by number.
+    found: list[tuple[str, int, tuple[int, ...]]] = []
+    # Numbers of such elements that turned out to enclose an article.
+    enclosing: set[int] = set()
     parts: list[str] = []
-    # Open elements that matter: tag, and the place inside.
-    open_tags: list[tuple[str, int]] = []
-    place, head = OUTSIDE, False
+    # Open elements that matter: tag, the place inside, and the elements beside the article.
+    open_tags: list[tuple[str, int, tuple[int, ...]]] = []
+    place, beside, head, number = OUTSIDE, (), False, 0
 
     def end_block() -> None:
         text = " ".join(unescape("".join(parts)).split())
         parts.clear()
         if text and not head:
-            out.append((text, place))
+            found.append((text, place, beside))
 
     at = 0
     for m in _TOKEN.finditer(html):
@@ -88,25 +94,25 @@ def lines(html: str | None) -> list[tuple[str, int]]:
         if m.group("close"):
             for k in range(len(open_tags) - 1, -1, -1):
                 if open_tags[k][0] == tag:
-                    end = place
                     del open_tags[k:]
-                    now = open_tags[-1][1] if open_tags else OUTSIDE
-                    if now != end and inline:
+                    now = open_tags[-1][1:] if open_tags else (OUTSIDE, ())
+                    if now != (place, beside) and inline:
                         end_block()
-                    place = now
+                    place, beside = now
                     break
         elif tag not in _LOOSE:
-            inside = place
-            if place != DROPPED:
-                if _beside(tag, m.group("rest"), place == INSIDE):
-                    inside = DROPPED
-                elif tag in _MAIN:
-                    inside = INSIDE
-            if inside != place and inline:
+            now = place, beside
+            if _beside(tag, m.group("rest"), place == INSIDE):
+                number += 1
+                now = place, (*beside, number)
+            elif tag in _MAIN and place == OUTSIDE:
+                enclosing.update(beside)
+                now = INSIDE, ()
+            if now != (place, beside) and inline:
                 end_block()
-            if not inline or inside != place:
-                open_tags.append((tag, inside))
-            place = inside
+            if not inline or now != (place, beside):
+                open_tags.append((tag, *now))
+            place, beside = now
     parts.append(html[at:])
     end_block()
-    return out
+    return [(x, DROPPED if any(k not in enclosing for k in b) else p) for x, p, b in found]

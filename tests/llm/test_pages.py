@@ -20,6 +20,17 @@ def test_known_page():
     assert lines("<p>cut off <b") == [("cut off", 0)] and lines("a <script>var x = '<p>no</p>'") == [("a", 0)]
 
 
+def test_names_of_ordinary_markup():
+    def kept(page):
+        return [x for x, p in lines(page) if p == 1]
+
+    body = "<article><div class='entry-header'><h1>Title</h1></div><section id='social-history'><p>Past</p></section><h2 id='related-work'>Work</h2><div class='related'>Inner</div></article>"
+    for around in ("{}", "<div class='layout has-sidebar'>{}</div>", "<div class='widget'><nav>Menu</nav>{}<p>After</p></div>", "<form>{}</form>"):
+        assert kept(around.format(body)) == ["Title", "Past", "Work", "Inner"]
+    assert lines("<div class='widget'><p>Before</p><nav>Menu</nav><article>Text</article></div><div class='x ad'>Buy</div>") == [("Before", 0), ("Menu", 2), ("Text", 1), ("Buy", 2)]
+    assert lines("<article>Text<div class='comments'><article>Nice!</article></div></article>") == [("Text", 1), ("Nice!", 2)]
+
+
 def test_common_is_a_longest_subsequence():
     pick = random.Random(3)
     for _ in range(400):
