@@ -1,14 +1,16 @@
 """Operator 9: the main text of web pages by differencing with the nearest pages of the host.
 
-Pages are put in order of host and URL path; each is compared with its neighbours there. Text lines are aligned by longest common
-subsequence, and lines that both pages have are deleted, except inside an article element, where a shared line is a copied text and not
-a template. Lines in elements that are beside an article by their kind (menus, footers, adverts ...) go too, for pages without a
-neighbour and for adverts that change from page to page.
+Pages are put in order of host and URL path, copies on a host as one; each is compared with the nearest unlike pages there. Text
+lines are aligned by longest common subsequence, and lines that both pages have are deleted, except inside an article element, where
+a shared line is a copied text and not a template. Lines in elements that are beside an article by their kind (menus, footers, adverts
+...) go too, for pages without a neighbour and for adverts that change from page to page.
 """
 
 from __future__ import annotations
 
 import re
+from hashlib import blake2b
+from itertools import takewhile
 from urllib.parse import unquote
 
 import pyarrow as pa
@@ -21,6 +23,8 @@ from sensorframe.llm.html_lines import DROPPED, INSIDE, lines
 
 _URL = re.compile(r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)(?::\d*)?([^?#]*)")
 _NUMBER = re.compile(r"\d+")
+# Distinct pages that are compared in one group, and how many more of each side it sees.
+GROUP, BORDER = 64, 16
 
 
 def host_and_path(url: str | None) -> tuple[str, str]:
@@ -55,26 +59,28 @@ def common(a: list[str], b: list[str]) -> list[bool]:
     return shared
 
 
-def deleted(outside: list[str], place: list[int], has_inside: bool, partners: list[list[str] | None]) -> list[int]:
-    """Which lines outside of articles go since a partner has them too, besides those that go by their place."""
-    drop = [False] * len(outside)
-    for partner in partners:
-        if partner:
-            shared = common(outside, partner)
-            # A page that would lose everything is a copy of its neighbour, which tells nothing.
-            if has_inside or not all(s or p == DROPPED for s, p in zip(shared, place)):
-                drop = [d or s for d, s in zip(drop, shared)]
-    return [k for k, (d, p) in enumerate(zip(drop, place)) if d and p != DROPPED]
+def deleted(own: list[int], place: list[int], sides: list[list[list[int]]]) -> list[int]:
+    """Which lines go since the nearest unlike page of a side has them too; each side has its pages from the nearest on."""
+    drop = set()
+    has_inside = INSIDE in place
+    for side in sides:
+        for partner in side:
+            shared = common(own, partner)
+            # A page that would lose everything is part of this one, which tells nothing; the next one is asked.
+            if has_inside or not all(shared):
+                drop.update(k for k, s in enumerate(shared) if s and place[k] != INSIDE)
+                break
+    return sorted(drop)
 
 
 def main_text(own: list[str], place: list[int], gone: list[int] | None) -> str:
-    """A page's text without lines beside the article and without the deleted ones, which are numbered among those outside."""
-    out, k, gone = [], 0, set(gone or ())
-    for x, p in zip(own, place):
-        if p == INSIDE or p != DROPPED and k not in gone:
-            out.append(x)
-        k += p != INSIDE
-    return "\n\n".join(out)
+    """A page's text without lines beside the article and without the deleted ones, which are numbered among the others."""
+    lines_, gone = [x for x, p in zip(own, place) if p != DROPPED], set(gone or ())
+    return "\n\n".join(x for k, x in enumerate(lines_) if k not in gone)
+
+
+def _key(line: str) -> int:
+    return int.from_bytes(blake2b(line.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
 def _numbered(df: DataFrame, order: list[str]) -> DataFrame:
@@ -102,46 +108,56 @@ def _numbered(df: DataFrame, order: list[str]) -> DataFrame:
 def extract(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` of every row.
 
-    A null or empty html has empty text. A null or odd url belongs to the host without name. Repeated rows are pages each, and
-    neighbours of each other. An empty table gives no rows; other columns are not looked at.
+    A null or empty html has empty text. A null or odd url belongs to the host without name. Repeated rows and other copies are
+    one page for the comparison and get the same text. An empty table gives no rows; other columns are not looked at.
     """
     def run(page_id, url, html):
         context = TaskContext.get()
         at = (context.taskAttemptId(), context.partitionId())
         row = counter.get(at, 0)
-        out = {"page_id": page_id, "url": url, "uid": [], "host": [], "path": [], "lines": [], "place": []}
+        out = {"page_id": page_id, "url": url, "uid": [], "host": [], "path": [], "lines": [], "place": [], "keys": [], "digest": []}
         for u, h in zip(url, html):
             host, path = host_and_path(u)
             found = lines(h)
+            keys = [_key(x) for x, p in found if p != DROPPED]
+            kinds = bytes(p for _, p in found if p != DROPPED)
             out["uid"].append(context.partitionId() << 40 | row)
             out["host"].append(host)
             out["path"].append(path)
             out["lines"].append([x for x, _ in found])
             out["place"].append([p for _, p in found])
+            out["keys"].append(keys)
+            out["digest"].append(blake2b(repr((host, keys, kinds)).encode("utf-8", "surrogatepass"), digest_size=16).digest() if keys else None)
             row += 1
         counter.clear()
         counter[at] = row
         return out
 
     counter: dict = {}
-    schema = "page_id bigint, url string, uid bigint, host string, path string, lines array<string>, place array<int>"
+    schema = "page_id bigint, url string, uid bigint, host string, path string, lines array<string>, place array<int>, keys array<bigint>, digest binary"
     split = stage(arrow_rows(pages, ["page_id", "url", "html"], schema, run), "lines")
-    place = _numbered(split.select("host", "path", "page_id", "url", "uid"), ["host", "path", "url", "page_id", "uid"])
-    # Only the lines outside of articles are moved: to the two neighbours in order, and beside their own.
-    where = F.filter("place", lambda p: p != INSIDE).alias("outside_place")
-    outside = F.filter("lines", lambda x, i: F.get("place", i) != INSIDE).alias("outside")
-    own = split.select("uid", outside, where, F.exists("place", lambda p: p == INSIDE).alias("has_inside")).join(place, "uid")
-    both = F.array(F.struct((F.col("pos") + 1).alias("to"), F.lit(0).alias("side")), F.struct((F.col("pos") - 1).alias("to"), F.lit(1).alias("side")))
-    sent = own.where(F.size("outside") > 0).select(F.explode(both).alias("go"), "host", "outside").select(F.col("go.to").alias("pos"), "go.side", "host", "outside")
-    got = sent.groupBy("pos", "host").agg(*(F.max(F.when(F.col("side") == k, F.col("outside"))).alias(f"side{k}") for k in (0, 1)))
-    met = own.join(got, ["pos", "host"])
-
-    def compare(uid, lines_, place_, inside, before, after):
-        return {"uid": uid, "gone": [deleted(*x[:3], list(x[3:])) for x in zip(lines_, place_, inside, before, after)]}
-
-    gone = arrow_rows(met, ["uid", "outside", "outside_place", "has_inside", "side0", "side1"], "uid bigint, gone array<int>", compare)
+    # Pages of a host with the same lines are one, at the place of the first.
+    distinct = split.where("digest is not null").groupBy("host", "digest").agg(F.min(F.struct("path", "page_id", "uid")).alias("first")).select("host", "first.*")
+    place = _numbered(distinct, ["host", "path", "page_id", "uid"])
+    # Hashes of lines are moved, never texts: each page to its group, and to the groups beside it where it is near their border.
+    met = split.select("uid", "digest", "keys", F.filter("place", lambda p: p != DROPPED).alias("kinds")).join(place, "uid").drop("uid")
+    spread = F.array_distinct(F.array(*(F.floor((F.col("pos") + d) / GROUP) for d in (-BORDER, 0, BORDER))))
+    met = met.withColumn("group", F.explode(spread))
+
+    def compare(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: r["pos"])
+        out = []
+        for at, r in enumerate(rows):
+            if r["pos"] // GROUP == r["group"]:
+                sides = [[x["keys"] for x in takewhile(lambda x: x["host"] == r["host"], side)] for side in (reversed(rows[max(0, at - BORDER):at]), rows[at + 1:at + 1 + BORDER])]
+                gone = deleted(r["keys"], r["kinds"], sides)
+                if gone:
+                    out.append({"digest": r["digest"], "gone": gone})
+        return pa.Table.from_pylist(out, schema=pa.schema([("digest", pa.binary()), ("gone", pa.list_(pa.int32()))]))
+
+    gone = stage(met.groupBy("group").applyInArrow(compare, "digest binary, gone array<int>"), "gone_distinct")
     # Written, so that its size is known: where few pages have such lines, the page texts are not moved for the join.
-    gone = stage(gone.where(F.size("gone") > 0), "gone")
+    gone = stage(split.select("uid", "digest").join(gone, "digest").select("uid", "gone"), "gone")
     done = split.select("page_id", "url", "uid", "lines", "place").join(gone, "uid", "left")
 
     def finish(page_id, url, own_lines, where_, gone_):

@@ -65,6 +65,17 @@ def test_against_neighbours_in_order(spark):
     assert pages.extract(df.limit(0)).count() == 0
 
 
+def test_copies_get_the_same_text(spark):
+    """A run of equal pages between others: all lose what the pages beside the run have too."""
+    def page(own):
+        return f"<div>Menu</div><p>{own}</p><div>Foot</div>"
+
+    rows = [(0, "https://x.org/a/0", page("first"), "first")] + [(i, f"https://x.org/a/{5 if i < 6 else i}?v={i}", page("copied"), "copied") for i in range(1, 40)]
+    rows += [(50, "https://x.org/a/50", page("last"), "last"), (60, "https://y.org/1", page("alone"), "Menu\n\nalone\n\nFoot")]
+    got = {r.page_id: r.text for r in pages.extract(spark.createDataFrame([r[:3] for r in rows], "page_id bigint, url string, html string").repartition(4)).collect()}
+    assert got == {i: t for i, _, _, t in rows}
+
+
 def test_given_pages(spark):
     given = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     got = {r.page_id: r.text for r in pages.extract(given.union(given.limit(3))).collect()}
