@@ -1,8 +1,8 @@
 """Operator 9: the main text of web pages by differencing with the nearest pages of the host.
 
 Pages are put in order of host and URL path, copies on a host as one; each is compared with the nearest unlike pages there. Text
-lines are aligned by longest common subsequence, and lines that both pages have are deleted, except inside an article element, where
-a shared line is a copied text and not a template. Lines in elements that are beside an article by their kind (menus, footers, adverts
+lines are aligned by longest common subsequence, and lines that both pages have are deleted. Inside an article element a line that two
+pages have may be quoted by both: it goes if all of the nearest pages have it whose articles aren't copies. Lines in elements that are beside an article by their kind (menus, footers, adverts
 ...) go too, for pages without a neighbour and for adverts that change from page to page.
 """
 
@@ -19,12 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sensorframe.llm.common import arrow_rows, stage
-from sensorframe.llm.html_lines import DROPPED, INSIDE, lines
+from sensorframe.llm.html_lines import DROPPED, INSIDE, OUTSIDE, lines
 
 _URL = re.compile(r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)(?::\d*)?([^?#]*)")
 _NUMBER = re.compile(r"\d+")
 # Distinct pages that are compared in one group, and how many more of each side it sees.
 GROUP, BORDER = 64, 16
+# Pages that must all have a line for it to be the template of articles, and the share of an article that makes two copies.
+WITNESSES, COPY_PERCENT = 4, 80
 
 
 def host_and_path(url: str | None) -> tuple[str, str]:
@@ -59,17 +61,46 @@ def common(a: list[str], b: list[str]) -> list[bool]:
     return shared
 
 
-def deleted(own: list[int], place: list[int], sides: list[list[list[int]]]) -> list[int]:
-    """Which lines go since the nearest unlike page of a side has them too; each side has its pages from the nearest on."""
+def copied(place: list[int], size: list[int], shared: list[bool], partner: dict) -> bool:
+    """Whether two articles are copies, by the characters of the smaller one that they share."""
+    both, own, other = (sum(n for n, p, s in zip(sizes, kinds, of) if p == INSIDE and s) for sizes, kinds, of in ((size, place, shared), (size, place, [True] * len(size)), (partner["sizes"], partner["kinds"], [True] * len(partner["sizes"]))))
+    return 100 * both >= COPY_PERCENT * min(own, other or own)
+
+
+def deleted(page: dict, sides: list[list[dict]]) -> list[int]:
+    """Which lines of a page go; each side has its other pages of the host from the nearest on.
+
+    Outside of articles a line goes that the nearest unlike page of a side has too. Inside, pages quote common lines: a line goes
+    if all of the nearest WITNESSES pages have it that aren't copies of the article, at least two.
+    """
+    own, place, size = page["keys"], page["kinds"], page["sizes"]
     drop = set()
     has_inside = INSIDE in place
-    for side in sides:
-        for partner in side:
-            shared = common(own, partner)
+    met: dict[tuple[int, int], list[bool]] = {}
+
+    def shared_with(s: int, k: int) -> list[bool]:
+        if (s, k) not in met:
+            met[s, k] = common(own, sides[s][k]["keys"])
+        return met[s, k]
+
+    for s, side in enumerate(sides):
+        for k in range(len(side) if OUTSIDE in place else 0):
+            shared = shared_with(s, k)
             # A page that would lose everything is part of this one, which tells nothing; the next one is asked.
             if has_inside or not all(shared):
-                drop.update(k for k, s in enumerate(shared) if s and place[k] != INSIDE)
+                drop.update(i for i, x in enumerate(shared) if x and place[i] == OUTSIDE)
                 break
+    if has_inside:
+        left, witnesses = [i for i, p in enumerate(place) if p == INSIDE], 0
+        for k, s in sorted((k, s) for s, side in enumerate(sides) for k in range(len(side))):
+            shared = shared_with(s, k)
+            if not copied(place, size, shared, sides[s][k]):
+                left = [i for i in left if shared[i]]
+                witnesses += 1
+                if witnesses == WITNESSES or not left:
+                    break
+        if witnesses >= 2:
+            drop.update(left)
     return sorted(drop)
 
 
@@ -140,7 +171,9 @@ def extract(pages: DataFrame) -> DataFrame:
     distinct = split.where("digest is not null").groupBy("host", "digest").agg(F.min(F.struct("path", "page_id", "uid")).alias("first")).select("host", "first.*")
     place = _numbered(distinct, ["host", "path", "page_id", "uid"])
     # Hashes of lines are moved, never texts: each page to its group, and to the groups beside it where it is near their border.
-    met = split.select("uid", "digest", "keys", F.filter("place", lambda p: p != DROPPED).alias("kinds")).join(place, "uid").drop("uid")
+    kept = F.filter("place", lambda p: p != DROPPED).alias("kinds")
+    sizes = F.transform(F.filter("lines", lambda x, i: F.get("place", i) != DROPPED), F.length).alias("sizes")
+    met = split.select("uid", "digest", "keys", kept, sizes).join(place, "uid").drop("uid")
     spread = F.array_distinct(F.array(*(F.floor((F.col("pos") + d) / GROUP) for d in (-BORDER, 0, BORDER))))
     met = met.withColumn("group", F.explode(spread))
 
@@ -149,8 +182,8 @@ def extract(pages: DataFrame) -> DataFrame:
         out = []
         for at, r in enumerate(rows):
             if r["pos"] // GROUP == r["group"]:
-                sides = [[x["keys"] for x in takewhile(lambda x: x["host"] == r["host"], side)] for side in (reversed(rows[max(0, at - BORDER):at]), rows[at + 1:at + 1 + BORDER])]
-                gone = deleted(r["keys"], r["kinds"], sides)
+                sides = [list(takewhile(lambda x: x["host"] == r["host"], side)) for side in (reversed(rows[max(0, at - BORDER):at]), rows[at + 1:at + 1 + BORDER])]
+                gone = deleted(r, sides)
                 if gone:
                     out.append({"digest": r["digest"], "gone": gone})
         return pa.Table.from_pylist(out, schema=pa.schema([("digest", pa.binary()), ("gone", pa.list_(pa.int32()))]))

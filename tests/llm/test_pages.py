@@ -76,6 +76,19 @@ def test_copies_get_the_same_text(spark):
     assert got == {i: t for i, _, _, t in rows}
 
 
+def test_template_inside_articles(spark):
+    """A line of all articles of a host goes, one that some of them quote stays, and copied articles stay whole."""
+    def page(own, quote=""):
+        return f"<article><h1>Title of {own}</h1><p>Text of {own}</p>{quote}<p>Share this</p></article>"
+
+    rows = [(i, f"https://x.org/a/{i}", page(i, "<p>Quoted by three</p>" if i in (3, 4, 5) else ""), f"Title of {i}\n\nText of {i}" + ("\n\nQuoted by three" if i in (3, 4, 5) else "")) for i in range(10)]
+    long = "<p>" + "a copied article " * 20 + "</p>"
+    rows += [(20 + i, f"https://y.org/{i}", f"<article>{long}<p>Copy {i}</p></article>", "a copied article " * 19 + f"a copied article\n\nCopy {i}") for i in range(6)]
+    rows += [(30 + i, f"https://z.org/{i}", page(i), f"Title of {i}\n\nText of {i}\n\nShare this") for i in range(2)]
+    got = {r.page_id: r.text for r in pages.extract(spark.createDataFrame([r[:3] for r in rows], "page_id bigint, url string, html string").repartition(4)).collect()}
+    assert got == {i: t for i, _, _, t in rows}
+
+
 def test_given_pages(spark):
     given = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     got = {r.page_id: r.text for r in pages.extract(given.union(given.limit(3))).collect()}
