@@ -1,13 +1,14 @@
 """Operator 4: language identification as inference of a mixture.
 
 Letter trigrams of all learnable texts are counted by language. A text is a mixture of languages: expectation-maximisation
-finds the shares under which its trigrams are most likely, for growing sets of languages, and the set whose likelihood, less a penalty
-per language, is largest is chosen. The language of the largest share is the prediction, that share the score.
+finds the shares under which its trigrams are most likely, for growing sets of the languages, and the set whose likelihood, less a penalty
+per language, is largest is chosen, of any size. The language of the largest share is the prediction, that share the score.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +19,8 @@ from sensorframe.llm.common import arrow_rows, in_fold
 
 FOLDS, HELD = 4, 2
 BUCKETS = 1 << 15
-# Languages beyond the likeliest few of a text are not mixed.
-MOST = 4
+# Log likelihood that the best shares may have more than those found.
+TOLERANCE = 1e-3
 # Neighbouring trigrams overlap: so many of them count as one observation.
 OVERLAP = 3.0
 UNKNOWN = "und"
@@ -42,9 +43,9 @@ def trigrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
         h = (c[:-2] * np.uint64(0x9E3779B1) + c[1:-1] * np.uint64(0x85EBCA77) * np.uint64(31) + c[2:] * np.uint64(0xC2B2AE3D) * np.uint64(961)) * np.uint64(0x9E3779B97F4A7C15)
         h = (h >> np.uint64(49)).astype(np.int64)[c[1:-1] != 32]
         if len(h):
-            count = np.bincount(h, minlength=BUCKETS)
-            at = np.flatnonzero(count)
-            return at, count[at]
+            total = np.bincount(h, minlength=BUCKETS)
+            at = np.flatnonzero(total)
+            return at, total[at]
     return np.zeros(0, np.int64), np.zeros(0, np.int64)
 
 
@@ -79,56 +80,80 @@ def profiles(documents: DataFrame) -> tuple[list[str], np.ndarray]:
     return [r.lang for r in one], np.log(table / table.sum(axis=0)) if one else table
 
 
-def mixture(p: np.ndarray, n: np.ndarray, rounds: int = 12) -> tuple[np.ndarray, float]:
-    """Shares of the languages (columns of ``p``) for counts ``n`` by expectation-maximisation, and the log likelihood."""
-    share = np.full(p.shape[1], 1 / p.shape[1])
-    weight = n / n.sum()
-    for _ in range(rounds):
-        joint = p * share
-        share = (weight / joint.sum(axis=1)) @ joint
-    return share, float(n @ np.log(p @ share))
-
+def mixture(p: np.ndarray, n: np.ndarray, rounds: int | None = None, least: float | None = None) -> tuple[np.ndarray, float]:
+    """Shares of the languages (columns of ``p``) for counts ``n`` by expectation-maximisation, and the log likelihood.
 
-def identify(at: np.ndarray, n: np.ndarray, logs: np.ndarray) -> tuple[int, float]:
-    """Column of the language with the largest share, and that share in the chosen set of languages."""
+    It ends when no shares can be likelier by more than TOLERANCE, or none can be likelier than ``least``; and after ``rounds``,
+    where they are given.
+    """
+    share = np.full(p.shape[1], 1 / p.shape[1])
+    total = n.sum()
+    for k in count():
+        mixed = p @ share
+        gain = (n / mixed) @ p / total
+        # The likelihood is concave: its slope towards the best language bounds what is left.
+        left = total * (gain.max() - 1)
+        if left <= TOLERANCE or k == rounds or least is not None and n @ np.log(mixed) + left <= least:
+            return share, float(n @ np.log(mixed))
+        share = share * gain
+        share /= share.sum()
+
+
+def chosen(at: np.ndarray, n: np.ndarray, logs: np.ndarray) -> tuple[list[int], list[float]]:
+    """Columns of the languages in a text, the largest share first, and their shares."""
     rows = logs[at]
     n = n / OVERLAP
-    alone = n @ rows
+    first = int((n @ rows).argmax())
     # A constant factor per trigram changes no share; it keeps the numbers away from zero.
     p = np.exp(rows - rows.max(axis=1, keepdims=True))
-    order = np.argsort(-alone, kind="stable")
-    if p.shape[1] > MOST:
-        share, _ = mixture(p, n)
-        order = np.r_[order[0], [k for k in np.argsort(-share, kind="stable") if k != order[0]]].astype(int)
     penalty = np.log(max(n.sum(), 2.0))
-    best, chosen = float(n @ np.log(p[:, order[0]])), (int(order[0]), 1.0)
-    for size in range(2, min(MOST, len(order)) + 1):
-        share, likely = mixture(p[:, order[:size]], n)
-        if likely - (size - 1) * penalty <= best:
+    best, found = float(n @ np.log(p[:, first])), ([first], [1.0])
+    share, most = mixture(p, n, least=best + penalty)
+    order = np.argsort(-share, kind="stable")
+    for size in range(2, len(order) + 1):
+        # No set is likelier than all languages together: from here on the penalised likelihood stays below.
+        if most - (size - 1) * penalty <= best:
             break
-        best = likely - (size - 1) * penalty
-        k = int(share.argmax())
-        chosen = (int(order[k]), float(share[k]))
-    return chosen
+        part, likely = (share[order], most) if size == len(order) else mixture(p[:, order[:size]], n)
+        if likely - (size - 1) * penalty > best:
+            best = likely - (size - 1) * penalty
+            by_share = np.argsort(-part, kind="stable")
+            found = order[by_share].tolist(), part[by_share].tolist()
+    return found
 
 
-def predict(documents: DataFrame) -> DataFrame:
-    """``doc_id, held_out, lang_pred, score`` of every row.
+def identify(at: np.ndarray, n: np.ndarray, logs: np.ndarray) -> tuple[int, float]:
+    """Column of the language with the largest share, and that share in the chosen set of languages."""
+    languages, shares = chosen(at, n, logs)
+    return languages[0], shares[0]
+
 
-    Profiles come from text and lang of the rows outside the held-out fold alone. A text that is null or has no letter is ``und``
-    with score 0, as is every text where nothing could be learnt. A null doc_id is never held out. Repeated rows give repeated
+def mixtures(documents: DataFrame) -> DataFrame:
+    """``doc_id, held_out, langs, shares`` of every row: the languages mixed in its text, the largest share first.
+
+    Profiles come from text and lang of the rows outside the held-out fold alone. A text that is null or has no letter has no
+    languages, as has every text where nothing could be learnt. A null doc_id is never held out. Repeated rows give repeated
     rows, an empty table none; other columns are not looked at.
     """
-    langs, logs = profiles(documents)
+    names, logs = profiles(documents)
 
     def run(doc_id, text):
-        out = {"doc_id": doc_id, "lang_pred": [], "score": []}
+        out = {"doc_id": doc_id, "langs": [], "shares": []}
         for t in text:
             at, n = trigrams(t)
-            k, score = identify(at, n, logs) if len(at) and langs else (None, 0.0)
-            out["lang_pred"].append(UNKNOWN if k is None else langs[k])
-            out["score"].append(min(1.0, max(0.0, score)))
+            found, shares = chosen(at, n, logs) if len(at) and names else ([], [])
+            out["langs"].append([names[k] for k in found])
+            out["shares"].append([min(1.0, max(0.0, x)) for x in shares])
         return out
 
-    found = arrow_rows(documents, ["doc_id", "text"], "doc_id bigint, lang_pred string, score double", run)
-    return found.select("doc_id", in_fold("doc_id", FOLDS, HELD).alias("held_out"), "lang_pred", "score")
+    found = arrow_rows(documents, ["doc_id", "text"], "doc_id bigint, langs array<string>, shares array<double>", run)
+    return found.select("doc_id", in_fold("doc_id", FOLDS, HELD).alias("held_out"), "langs", "shares")
+
+
+def predict(documents: DataFrame) -> DataFrame:
+    """``doc_id, held_out, lang_pred, score`` of every row: the first of ``mixtures`` and its share.
+
+    A text without languages is ``und`` with score 0.
+    """
+    first = F.coalesce(F.get("langs", F.lit(0)), F.lit(UNKNOWN)), F.coalesce(F.get("shares", F.lit(0)), F.lit(0.0))
+    return mixtures(documents).select("doc_id", "held_out", first[0].alias("lang_pred"), first[1].alias("score"))
