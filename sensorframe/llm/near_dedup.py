@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sensorframe.llm.byte_bpe import _Words
-from sensorframe.llm.common import arrow_rows, stage
+from sensorframe.llm.common import arrow_append, arrow_rows, stage
 from sensorframe.llm.components import components
 
 WIDTH = 5
@@ -140,28 +140,20 @@ def confirmed(ids: np.ndarray, sets: list[np.ndarray], sigs: np.ndarray, first:
     return links
 
 
-def near_duplicates(documents: DataFrame, width: int = WIDTH, percent: int = 85, block: int = BLOCK) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of every row.
-
-    A null, empty or wordless text has no shingles and is linked with nothing. Rows that repeat a doc_id are one document
-    with several texts and get the same component. A row without doc_id takes no part: its component is null and it is
-    kept. An empty table gives no rows. Columns other than doc_id and text are not looked at.
-    """
-    sigs = stage(signatures(documents, width, band_count(percent)), "signatures")
-    known = sigs.where("doc_id is not null and digest is not null")
-    classes = stage(known.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
+def _linked(documents: DataFrame, known: DataFrame, classes: DataFrame, width: int, percent: int, block: int) -> DataFrame:
+    """Confirmed links ``u, v`` between the nodes of ``classes``: rows ``digest, rep, node``, of each class its smallest document."""
     # One row for each class: that of its smallest document.
     reps = known.join(classes.withColumnRenamed("rep", "doc_id"), ["digest", "doc_id"]).dropDuplicates(["digest"])
-    reps = stage(reps.select("doc_id", "digest", "n", "signature", "bands"), "reps")
+    reps = stage(reps.select("node", "doc_id", "digest", "n", "signature", "bands"), "reps")
 
-    keyed = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("u"))
+    keyed = reps.select(F.explode("bands").alias("key"), F.col("node").alias("u"))
     hubs = keyed.groupBy("key").agg(F.min("u").alias("v"), F.max("u").alias("most")).where("v < most").drop("most")
     ties = keyed.join(hubs, "key").where("u <> v").select("u", "v")
     clusters = stage(components(ties), "clusters")
 
     sizes = clusters.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     members = clusters.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    members = members.join(reps.drop("bands"), F.col("node") == F.col("doc_id")).drop("node")
+    members = members.join(reps.drop("bands"), "node")
     texts = documents.select(F.col("doc_id").alias("id"), "text")
     members = members.join(texts, F.col("doc_id") == F.col("id")).drop("id")
     # A document goes to each pair of blocks that its own is one of.
@@ -185,10 +177,23 @@ def near_duplicates(documents: DataFrame, width: int = WIDTH, percent: int = 85,
         low = np.flatnonzero(own == i)
         high = low if i == j else np.flatnonzero(own == j)
         sig = np.frombuffer(b"".join(pdf["signature"]), np.uint8).reshape(len(pdf), -1)
-        return pd.DataFrame(confirmed(pdf["doc_id"].to_numpy(), sets, sig, low, high, percent), columns=["u", "v"])
+        return pd.DataFrame(confirmed(pdf["node"].to_numpy(), sets, sig, low, high, percent), columns=["u", "v"])
 
-    links = members.select("component", "i", "j", "own", "doc_id", "digest", "signature", "text")
-    links = links.groupBy("component", "i", "j").applyInPandas(compare, "u bigint, v bigint")
+    links = members.select("component", "i", "j", "own", "node", "digest", "signature", "text")
+    return links.groupBy("component", "i", "j").applyInPandas(compare, "u bigint, v bigint")
+
+
+def near_duplicates(documents: DataFrame, width: int = WIDTH, percent: int = 85, block: int = BLOCK) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` of every row.
+
+    A null, empty or wordless text has no shingles and is linked with nothing. Rows that repeat a doc_id are one document
+    with several texts and get the same component. A row without doc_id takes no part: its component is null and it is
+    kept. An empty table gives no rows. Columns other than doc_id and text are not looked at.
+    """
+    sigs = stage(signatures(documents, width, band_count(percent)), "signatures")
+    known = sigs.where("doc_id is not null and digest is not null")
+    classes = stage(known.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
+    links = _linked(documents, known, classes.withColumn("node", F.col("rep")), width, percent, block)
     # A doc_id with several texts ties their classes.
     of_doc = known.join(classes, "digest").select("doc_id", "rep").distinct()
     several = of_doc.groupBy("doc_id").agg(F.min("rep").alias("v"), F.max("rep").alias("most")).where("v < most")
@@ -202,7 +207,31 @@ def near_duplicates(documents: DataFrame, width: int = WIDTH, percent: int = 85,
 
 
 def keep(documents: DataFrame, width: int = WIDTH, percent: int = 85, block: int = BLOCK) -> DataFrame:
-    """One row of each group of near-duplicates; all columns as they were. Of rows that repeat the kept doc_id one stays, whichever."""
-    kept = near_duplicates(documents.select("doc_id", "text"), width, percent, block).where("kept and doc_id is not null").select("doc_id").distinct()
-    one = documents.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(documents.columns)
-    return one.union(documents.where("doc_id is null"))
+    """One row of each group of near-duplicates; all columns as they were.
+
+    Rows are told apart by doc_id and text: unlike texts of one doc_id are not near each other. Of a group the class with the
+    smallest doc_id stays, and of its rows with that doc_id the first by all columns. Rows without doc_id or words stay.
+    """
+    sigs = stage(signatures(documents.select("doc_id", "text"), width, band_count(percent)), "signatures")
+    known = sigs.where("doc_id is not null and digest is not null")
+    # Numbered, as a doc_id may be the smallest of several classes; written, so that the numbers hold.
+    classes = stage(known.groupBy("digest").agg(F.min("doc_id").alias("rep")).withColumn("node", F.monotonically_increasing_id()), "classes")
+    found = stage(components(_linked(documents, known, classes, width, percent, block)), "found")
+    group = F.coalesce("component", "node").alias("group")
+    first = classes.join(found, "node", "left").groupBy(group).agg(F.min(F.struct("rep", "digest")).alias("first"))
+    pairs = stage(first.select(F.col("first.rep").alias("doc_id"), "first.digest"), "kept")
+
+    ids = pairs.select("doc_id").union(sigs.where("doc_id is not null and digest is null").select("doc_id")).distinct()
+    repeated = stage(sigs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    stays = documents.where("doc_id is not null").join(ids, "doc_id", "left_semi").select(documents.columns)
+    single = stays.join(repeated, "doc_id", "left_anti").select(documents.columns)
+
+    def digest(text):
+        return {"digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s := shingles(t, width)) else None for t in text]}
+
+    # Only rows of repeated ids are looked at once more.
+    row = F.struct(*documents.columns)
+    again = stays.join(repeated, "doc_id", "left_semi").select(row.alias("row"), "doc_id", "text")
+    again = arrow_append(again, ["text"], "digest binary", digest)
+    one = again.join(pairs, ["doc_id", "digest"], "left_semi").groupBy("doc_id", "digest").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return single.union(one.select("row.*")).union(again.where("digest is null").select("row.*")).union(documents.where("doc_id is null"))

@@ -68,6 +68,21 @@ def test_exact_copies_and_empty_table(spark):
     assert near_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_keep_with_repeated_ids(spark):
+    """Unlike texts of one doc_id stay, near and equal ones go, whatever the order of the rows."""
+    texts = [" ".join(f"{name}{k}" for k in range(100)) for name in "abcd"]
+    near = texts[0].rsplit(" ", 1)[0] + " other"
+    rows = [(1, texts[0], "x"), (1, texts[1], "x"), (1, texts[1].upper(), "x"), (1, texts[1], "w"), (2, near, "x"), (2, texts[2], "x"), (2, "", "x"), (3, texts[2], "x"), (3, None, "x"), (3, "", "y"), (4, texts[3], "x"), (4, texts[3], "x"), (None, texts[3], "x"), (5, near, "x"), (6, " ", "x")]
+    # The first of a class by all columns: upper case sorts before lower case, but source comes first.
+    want = [(1, texts[0], "x"), (1, texts[1], "w"), (2, texts[2], "x"), (2, "", "x"), (3, None, "x"), (3, "", "y"), (4, texts[3], "x"), (None, texts[3], "x"), (6, " ", "x")]
+    for seed in (1, 2):
+        random.Random(seed).shuffle(rows)
+        df = spark.createDataFrame([(s, d, t) for d, t, s in rows], "source string, doc_id bigint, text string").repartition(3)
+        out = near_dedup.keep(df)
+        assert out.columns == df.columns
+        assert sorted(((r.doc_id, r.text, r.source) for r in out.collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_components(spark):
     pick = random.Random(4)
     edges = [(pick.randint(0, 300), pick.randint(0, 300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1100)] + [(2000, 2001 + i) for i in range(50)] + [(None, 4), (7, 7)]
