@@ -1,9 +1,10 @@
-"""Operator 6: exact top-k by inner product, reading sorted lists without random access.
+"""Operator 6: exact top-k by inner product, with the bounds of sorted lists.
 
 Vectors are packed into blocks; every block of queries meets every block of vectors in a row of its own. Within a block each
-component has a list of its values in order. A query reads all its lists from their better end, step by step. What it has read of a
-vector, with the best and worst that the unread rest can give, bounds the vector's score. Vectors that cannot reach the k-th best
-lower bound any more are out; when few are left, or the lists end, their scores are resolved.
+component has a list of its values in order, kept as places. For a query all products of a block are taken at once, and the lists are
+masks over them: at each depth, the products within it, with the best and worst that the rest can give, bound a vector's score.
+Vectors that cannot reach the k-th best lower bound any more are out; when few are left, or the lists end, their scores are resolved.
+Nothing is read step by step; ending early saves no products.
 """
 
 from __future__ import annotations
@@ -133,7 +134,7 @@ class SortedLists:
         exact = most < 1 << 53
         kind = np.float64 if exact else np.int64
         q = query.astype(kind)
-        # Each list is read from its better end: the largest value for a positive weight, the smallest for a negative one.
+        # Each list counts from its better end: the largest value for a positive weight, the smallest for a negative one.
         up = query > 0
         place = np.where(up, n - 1 - self.place, self.place)[rows]
         part = ((self.floats if exact else self.vectors) * q)[rows]
