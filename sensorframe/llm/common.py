@@ -43,8 +43,8 @@ def arrow_rows(df: DataFrame, columns: list[str], schema: str, fn: Callable[...,
 
     Only the named columns reach Python. An empty table gives an empty one.
     """
-    names = [part.split()[0] for part in schema.split(",")]
     target = df.sparkSession.createDataFrame([], schema).schema
+    names = target.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorframe.llm import byte_bpe, chat, languages, near_dedup, packing, pages, pii, quality, rules, runs, top_k
+from sensorframe.llm import byte_bpe, chat, languages, licenses, near_dedup, packing, pages, pii, quality, rules, runs, top_k
 from sensorframe.llm.common import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -103,3 +103,8 @@ def op7_pii(spark: SparkSession, sf: str) -> DataFrame:
 @query("op12_periodic_runs")
 def op12_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
     return runs.report(table(spark, sf, "documents"))
+
+
+@query("op11_licenses")
+def op11_licenses(spark: SparkSession, sf: str) -> DataFrame:
+    return licenses.report(table(spark, sf, "documents"))
