@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorframe.llm import byte_bpe, chat, languages, licenses, near_dedup, packing, pages, pii, quality, rules, runs, top_k
+from sensorframe.llm import alignment, byte_bpe, chat, languages, licenses, near_dedup, packing, pages, pii, quality, rules, runs, top_k
 from sensorframe.llm.common import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -108,3 +108,8 @@ def op12_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
 @query("op11_licenses")
 def op11_licenses(spark: SparkSession, sf: str) -> DataFrame:
     return licenses.report(table(spark, sf, "documents"))
+
+
+@query("op13_token_alignment")
+def op13_token_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    return alignment.align(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
