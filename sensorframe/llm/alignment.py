@@ -12,8 +12,11 @@ hold their pairs as numbers into the chunk's pairs.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import zlib
+from array import array
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -47,17 +50,26 @@ class TokenPair:
 
     def __init__(self, byte_level: str, pieces: str):
         import sentencepiece
+        import tiktoken
+        from public_tokenizers import PATTERN
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_file(byte_level)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=pieces)
-        self.byte_of = _byte_of()
         self.width = self.b.get_piece_size()
-        vocabulary = self.a.get_vocab()
-        self.a_size = np.zeros(max(vocabulary.values()) + 1, np.int32)
-        for token, i in vocabulary.items():
-            self.a_size[i] = len(token)
+        file = json.loads(Path(byte_level).read_text())
+        byte_of = _byte_of()
+        self.a_bytes = {i: bytes(map(byte_of.__getitem__, token)) for token, i in file["model"]["vocab"].items() if set(token) <= byte_of.keys()}
+        self.a_size = np.zeros(max(self.a_bytes) + 1, np.int32)
+        self.a_size[list(self.a_bytes)] = list(map(len, self.a_bytes.values()))
+        # Where every merge makes the next id, the lowest id is merged first: then a short text may go through the quicker of two libraries.
+        merges = [m if isinstance(m, str) else " ".join(m) for m in file["model"]["merges"]]
+        special = {t["id"] for t in file.get("added_tokens", [])}
+        self.quick = None
+        if [file["model"]["vocab"].get(m.replace(" ", "")) for m in merges] == list(range(256, 256 + len(merges))):
+            ranks = {token: i for i, token in self.a_bytes.items() if i not in special}
+            self.quick = tiktoken.Encoding("byte_level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.b_bytes = [self._piece(i) for i in range(self.width)]
         self.b_size = np.array([len(p) for p in self.b_bytes], np.int32)
         # A piece with a space after its beginning could join two words; without one, spaces part the merges.
@@ -70,14 +82,13 @@ class TokenPair:
         return bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace(_SPACE, " ").encode()
 
     def _whole(self, text: str) -> tuple[bytes, bytes] | None:
-        """Ids of both sides as little-endian bytes, None where the joined bytes of a side are not a space and the text."""
+        """Ids of both sides as bytes of int32, None where the joined bytes of a side are not a space and the text."""
         want = f" {text}".encode()
-        a = self.a.encode(f" {text}", add_special_tokens=False)
+        a = self.quick.encode_ordinary(f" {text}") if self.quick and len(text) <= 200 else self.a.encode(f" {text}", add_special_tokens=False).ids
         b = self.b.encode(text, num_threads=1)
-        joined = "".join(map(self.a.id_to_token, a.ids))
-        if bytes(map(self.byte_of.get, joined, [0] * len(joined))) != want or b"".join(map(self.b_bytes.__getitem__, b)) != want:
+        if b"".join(map(self.a_bytes.__getitem__, a)) != want or b"".join(map(self.b_bytes.__getitem__, b)) != want:
             return None
-        return np.array(a.ids, "<i4").tobytes(), np.array(b, "<i4").tobytes()
+        return array("i", a).tobytes(), array("i", b).tobytes()
 
     def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids of A and B; None for texts without tokens."""
@@ -85,12 +96,12 @@ class TokenPair:
             return None
         if not self.parted or _SPACE in text or _BESIDE_SPACE.search(text):
             found = self._whole(text)
-            return found and (np.frombuffer(found[0], "<i4"), np.frombuffer(found[1], "<i4"))
+            return found and (np.frombuffer(found[0], np.int32), np.frombuffer(found[1], np.int32))
         found = list(map(self.words.__getitem__, text.split(" ")))
         if None in found:
             return None
         a, b = zip(*found)
-        return np.frombuffer(b"".join(a), "<i4"), np.frombuffer(b"".join(b), "<i4")
+        return np.frombuffer(b"".join(a), np.int32), np.frombuffer(b"".join(b), np.int32)
 
 
 def token_pair(byte_level: str, pieces: str) -> TokenPair:
@@ -127,7 +138,7 @@ class Aligned:
     def __init__(self, pair: TokenPair, found: list[tuple[np.ndarray, np.ndarray]]):
         self.pair, self.many = pair, len(found)
         self.n_a, self.n_b = (np.array([len(f[k]) for f in found], np.int64) for k in (0, 1))
-        self.a, self.b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, "<i4") for k in (0, 1))
+        self.a, self.b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int32) for k in (0, 1))
         doc_a, doc_b = (np.repeat(np.arange(self.many), n) for n in (self.n_a, self.n_b))
         a, b = _frame(doc_a, self.a, pair.a_size), _frame(doc_b, self.b, pair.b_size)
         of_a, of_b = overlaps(a, b)
