@@ -81,9 +81,36 @@ def arrow_append(df: DataFrame, columns: list[str], schema: str, fn: Callable[..
     return df.mapInArrow(run, whole)
 
 
-def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """At most ``rows`` rows, those with the smallest hash of ``key``: the same ones however the table is split."""
-    return df.orderBy(F.xxhash64(F.col(key)), F.col(key)).limit(rows)
+def own_names(df: DataFrame, *used: str) -> DataFrame:
+    """``df`` with all columns but ``used`` named by their place, so that no name clashes with working columns; ``toDF`` gives the names back."""
+    return df.toDF(*(c if c in used else f"c{i}" for i, c in enumerate(df.columns)))
+
+
+def bounded_sample(df: DataFrame, key: str | list[str], rows: int) -> DataFrame:
+    """At most ``rows`` rows, those with the smallest hash of ``key``: the same ones however the table is split.
+
+    Rows are counted by ranges of the hash, 256 at a time and finer where a range is too full, so that little more than ``rows`` are sorted,
+    however large the table or many its tasks. ``df`` is read once for each count; rows of one hash stay together.
+    """
+    keys = [key] if isinstance(key, str) else key
+    h = F.xxhash64(*keys)
+    below, low, width = 0, -(2**63), 2**64
+    while width > 1:
+        width //= 256
+        here = df.where((h >= low) & (h <= low + width * 256 - 1))
+        # The sign bit turned makes hashes rise as unsigned numbers do.
+        place = F.shiftrightunsigned(h.bitwiseXOR(F.lit(-(2**63))), width.bit_length() - 1).bitwiseAND(F.lit(255))
+        counts = dict(here.groupBy(place.alias("place")).count().collect())
+        cut = 0
+        while cut < 256 and below + counts.get(cut, 0) < rows:
+            below += counts.get(cut, 0)
+            cut += 1
+        if cut == 256:
+            return df.orderBy(h, *keys)
+        low += cut * width
+        if below + counts[cut] <= 2 * rows:
+            break
+    return df.where(h <= low + width - 1).orderBy(h, *keys).limit(rows)
 
 
 def ceil_div(a: int, b: int) -> int:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sensorframe.llm.byte_bpe import _Words
-from sensorframe.llm.common import arrow_append, arrow_rows, stage
+from sensorframe.llm.common import arrow_append, arrow_rows, own_names, stage
 from sensorframe.llm.components import components
 
 WIDTH = 5
@@ -210,8 +210,11 @@ def keep(documents: DataFrame, width: int = WIDTH, percent: int = 85, block: int
     """One row of each group of near-duplicates; all columns as they were.
 
     Rows are told apart by doc_id and text: unlike texts of one doc_id are not near each other. Of a group the class with the
-    smallest doc_id stays, and of its rows with that doc_id the first by all columns. Rows without doc_id or words stay.
+    smallest doc_id stays, and of its rows with that doc_id the first by all columns. Rows without doc_id or words stay, null texts
+    among them; an empty table gives no rows; names of other columns may be any.
     """
+    names = documents.columns
+    documents = own_names(documents, "doc_id", "text")
     sigs = stage(signatures(documents.select("doc_id", "text"), width, band_count(percent)), "signatures")
     known = sigs.where("doc_id is not null and digest is not null")
     # Numbered, as a doc_id may be the smallest of several classes; written, so that the numbers hold.
@@ -234,4 +237,4 @@ def keep(documents: DataFrame, width: int = WIDTH, percent: int = 85, block: int
     again = stays.join(repeated, "doc_id", "left_semi").select(row.alias("row"), "doc_id", "text")
     again = arrow_append(again, ["text"], "digest binary", digest)
     one = again.join(pairs, ["doc_id", "digest"], "left_semi").groupBy("doc_id", "digest").agg(F.min_by("row", F.to_json("row")).alias("row"))
-    return single.union(one.select("row.*")).union(again.where("digest is null").select("row.*")).union(documents.where("doc_id is null"))
+    return single.union(one.select("row.*")).union(again.where("digest is null").select("row.*")).union(documents.where("doc_id is null")).toDF(*names)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorframe.llm import boosting
-from sensorframe.llm.common import stage
+from sensorframe.llm.common import own_names, stage
 
 KINDS = ("email", "ip", "card", "phone")
 #: Documented bounds of the fit: documents looked at (in the mean) and candidates taken.
@@ -230,9 +230,14 @@ def report(documents: DataFrame) -> DataFrame:
 
 
 def redact(documents: DataFrame) -> DataFrame:
-    """``documents`` with every span of ``text`` replaced by its kind in brackets, such as ``[EMAIL]``; overlapping spans by the first one's."""
+    """``documents`` with every span of ``text`` replaced by its kind in brackets, such as ``[EMAIL]``; overlapping spans by the first one's.
+
+    All columns stay, whatever their names. A null text stays null, an empty one empty; repeated rows and null ids are redacted each; an
+    empty table gives no rows.
+    """
     model, cuts = fit(documents)
-    found = detect(documents, model, cuts)
+    # Names of working columns begin with an underscore.
+    found = detect(own_names(documents, "text"), model, cuts)
     ordered = F.array_sort(F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))))
     name = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
 
@@ -244,4 +249,4 @@ def redact(documents: DataFrame) -> DataFrame:
 
     done = F.aggregate(ordered, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substr(F.col("text"), a["at"] + 1, F.length("text"))))
     text = F.when(F.size("_spans") > 0, done).otherwise(F.col("text"))
-    return found.select(*(text.alias("text") if c == "text" else F.col(f"`{c}`") for c in documents.columns))
+    return found.select(*(text.alias("text") if c == "text" else F.col(f"c{i}") for i, c in enumerate(documents.columns))).toDF(*documents.columns)

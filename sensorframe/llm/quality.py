@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorframe.llm import boosting
-from sensorframe.llm.common import arrow_append, arrow_rows, in_fold
-from sensorframe.llm.statistics import COUNTS, SAMPLE_ROWS, counts, labelled, shares, statistics
+from sensorframe.llm.common import arrow_append, arrow_rows, in_fold, own_names
+from sensorframe.llm.statistics import COUNTS, SAMPLE_ROWS, counts, labelled, labelled_documents, shares, statistics
 
 FOLDS, HELD = 5, 0
 
@@ -22,13 +22,17 @@ def fit(stats: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> boostin
 
 
 def keep(documents: DataFrame, labels: DataFrame, cut: float = 0.3, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The rows of ``documents`` whose score is at least ``cut``; all columns as they were, no text is shuffled."""
-    model = fit(statistics(documents), labels, rows)
+    """The rows of ``documents`` whose score is at least ``cut``; all columns as they were, whatever their names; no text is shuffled.
+
+    Each text is counted once, the labelled ones that the trees are fitted on once more. Null and empty texts have all-zero statistics and stay or go
+    by the score of these; a null doc_id is scored like any other; repeated rows stay or go together; an empty table gives no rows.
+    """
+    model = fit(statistics(labelled_documents(documents, labels, learn_rows(), rows)), labels, rows)
 
     def run(text):
         return {"_kept": (model.score(shares(list(map(counts, text)))) >= cut).tolist()}
 
-    return arrow_append(documents, ["text"], "_kept boolean", run).where("_kept").drop("_kept")
+    return arrow_append(own_names(documents, "text"), ["text"], "_kept boolean", run).where("_kept").drop("_kept").toDF(*documents.columns)
 
 
 def score(documents: DataFrame, labels: DataFrame, cut: float = 0.3, rows: int = SAMPLE_ROWS) -> DataFrame:

@@ -13,9 +13,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sensorframe.llm.common import arrow_append
+from sensorframe.llm.common import arrow_append, own_names
 from sensorframe.llm.quality import learn_rows
-from sensorframe.llm.statistics import COUNTS, FEATURES, SAMPLE_ROWS, counts, features, labelled, statistics
+from sensorframe.llm.statistics import COUNTS, FEATURES, SAMPLE_ROWS, counts, features, labelled, labelled_documents, statistics
 
 
 @dataclass(frozen=True)
@@ -130,15 +130,19 @@ def base_failed(prefix: str = "") -> Column:
 
 
 def keep(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The rows of ``documents`` that neither the base nor a rule rejects; all columns as they were, no text is shuffled."""
-    found = learn(*labelled(statistics(documents), labels, learn_rows(), rows))
+    """The rows of ``documents`` that neither the base nor a rule rejects; all columns as they were, whatever their names; no text is shuffled.
+
+    Each text is counted once, the labelled ones that rules are learnt from once more. Null and empty texts fail the base and go; a null doc_id is
+    treated like any other; repeated rows stay or go together; an empty table gives no rows.
+    """
+    found = learn(*labelled(statistics(labelled_documents(documents, labels, learn_rows(), rows)), labels, learn_rows(), rows))
 
     def run(text):
         return dict(zip([f"_{c}" for c in COUNTS], map(list, zip(*map(counts, text)))))
 
-    counted = arrow_append(documents, ["text"], ", ".join(f"_{c} bigint" for c in COUNTS), run)
+    counted = arrow_append(own_names(documents, "text"), ["text"], ", ".join(f"_{c} bigint" for c in COUNTS), run)
     met = expression(found, list(features("_").values()))
-    return counted.where(~base_failed("_") & met.isNull()).drop(*(f"_{c}" for c in COUNTS))
+    return counted.where(~base_failed("_") & met.isNull()).drop(*(f"_{c}" for c in COUNTS)).toDF(*documents.columns)
 
 
 def apply_rules(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:

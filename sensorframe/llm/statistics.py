@@ -85,15 +85,29 @@ def features(prefix: str = "") -> dict[str, Column]:
     return {name: of(*formula) for name, formula in FORMULAS.items()}
 
 
+def _known(labels: DataFrame, learn: Column) -> DataFrame:
+    return labels.where("doc_id is not null and quality is not null").where(learn).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
+
+
+def labelled_documents(documents: DataFrame, labels: DataFrame, learn: Column, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """``doc_id, text`` of the documents that ``labelled`` would take of all: their texts alone need counting for a fit.
+
+    Ids are picked from the ``doc_id`` column alone; they are at most ``rows``, so they are sent to every task.
+    """
+    ids = documents.select("doc_id").where("doc_id is not null").join(_known(labels, learn).select("doc_id"), "doc_id")
+    picked = bounded_sample(stage(ids, "labelled"), "doc_id", rows).distinct()
+    return documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id", "left_semi")
+
+
 def labelled(stats: DataFrame, labels: DataFrame, learn: Column, rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray]:
     """Feature matrix and labels of at most ``rows`` labelled rows, picked by a hash of the id, for fitting on the driver.
 
     Several labels of a document count by their majority (a tie: good); null labels and ids are left out.
     """
-    known = labels.where("doc_id is not null and quality is not null").where(learn).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
+    known = _known(labels, learn)
     # Which of a document's repeated rows are taken does not matter; bounded_sample orders them by hash and id.
     met = stats.join(known, "doc_id").select("doc_id", "quality", *(c.alias(f"f_{n}") for n, c in features().items()))
-    taken = bounded_sample(met, "doc_id", rows).drop("doc_id").collect()
+    taken = bounded_sample(stage(met, "labelled"), "doc_id", rows).drop("doc_id").collect()
     if not taken:
         return np.zeros((0, len(FEATURES))), np.zeros(0)
     table = np.array([tuple(r) for r in taken], float)

@@ -1,6 +1,7 @@
 """The pipeline's stages against the operators' own decisions, taken document by document in Python."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sensorframe.llm import near_dedup, packing, pii, quality, rules
@@ -71,3 +72,14 @@ def test_run_and_odd_rows(spark, docs, tmp_path):
     for _, step in corpus_pipeline.STAGES:
         assert step(spark, empty, SF).count() == 0
     assert len(FEATURES) == 14 and near_dedup.band_count(85) == 51 and packing.GROUP_WINDOWS
+
+
+def test_names_that_clash(spark, docs):
+    odd = docs.selectExpr("doc_id as `_kept`", "doc_id as `a.b`", "*", "1 as `_n_words`", "2 as `_base`", "3 as `_spans`", "4 as c3", "5 as digest", "6 as `group`", "7 as _raw", "8 as `x``y`")
+    odd = odd.unionByName(odd.limit(3)).unionByName(odd.limit(2).withColumn("text", F.lit(None).cast("string")))
+    for _, step in corpus_pipeline.STAGES[:-1]:
+        out = step(spark, odd, SF)
+        assert out.columns == odd.columns
+        plain = step(spark, odd.select(docs.columns), SF)
+        assert sorted(map(repr, out.select(docs.columns).collect())) == sorted(map(repr, plain.collect()))
+    assert corpus_pipeline.pack(spark, odd, SF).count() >= odd.count()

@@ -105,3 +105,24 @@ def test_rules_are_found():
     for r in found:
         met |= rules.covers(r, x)
     assert (met == (y == 0)).mean() > 0.98
+
+
+def test_bounded_sample_is_the_smallest_hashes(spark):
+    from sensorframe.llm.common import bounded_sample
+
+    hot = spark.range(3000).union(spark.range(2000).selectExpr("id % 5")).toDF("doc_id")
+    for rows in (1, 37, 700, 4999, 5000, 9000):
+        for parts in (1, 7):
+            want = hot.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()
+            assert sorted(bounded_sample(hot.repartition(parts), "doc_id", rows).collect()) == sorted(want)
+    assert bounded_sample(hot.limit(0), "doc_id", 5).count() == 0
+
+
+def test_labelled_documents_fit_alike(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.union(docs.limit(30))
+    for rows in (20, 20_000):
+        few = st.statistics(st.labelled_documents(docs, labels, quality.learn_rows(), rows))
+        a, b = st.labelled(st.statistics(docs), labels, quality.learn_rows(), rows), st.labelled(few, labels, quality.learn_rows(), rows)
+        assert sorted(map(tuple, a[0].tolist())) == sorted(map(tuple, b[0].tolist())) and a[1].sum() == b[1].sum()
