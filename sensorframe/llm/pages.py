@@ -26,7 +26,7 @@ _NUMBER = re.compile(r"\d+")
 # Distinct pages that are compared in one group, and how many more of each side it sees.
 GROUP, BORDER = 64, 16
 # Pages that must all have a line for it to be the template of articles, and the share of an article that makes two copies.
-WITNESSES, COPY_PERCENT = 4, 80
+WITNESSES, COPY_PERCENT = 16, 80
 
 
 def host_and_path(url: str | None) -> tuple[str, str]:

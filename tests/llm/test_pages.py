@@ -31,6 +31,33 @@ def test_names_of_ordinary_markup():
     assert lines("<article>Text<div class='comments'><article>Nice!</article></div></article>") == [("Text", 1), ("Nice!", 2)]
 
 
+def test_no_text_is_lost_to_odd_markup():
+    def kept(page, place=1):
+        return [x for x, p in lines(page) if p == place]
+
+    assert kept("<article><p title=it's>Hello</p><p>World</p><p>it's me</p></article>") == ["Hello", "World", "it's me"]
+    assert kept('<article><p "odd>One</p><p title="a>b" data-x=\'c>d\'>Two</p><p title = "x>y" />Three</article>') == ["One", "Two", "Three"]
+    assert kept("<article>1 < 2 and <3 <b>x</b></article>") == ["1 < 2 and <3 x"]
+    assert kept('<p title="never closed>One</p><p>Two</p>', 0) == ["One", "Two"] and kept("<a <a text", 0) == ["<a"]
+    assert kept("<article><b>x</b></ p></i>y<!-- gone > --><!doctype q>z</article>") == ["xyz"]
+
+
+def test_adverts_and_comments_inside_articles():
+    page = "<article><p class='ad'>A<p>One<ul><li class=advert>B<li>Two</ul><table><tr><td class='sidebar'>C<td>Three</table><div class='ad'>D</div><div class='newsletter'>E</div><ul id='comment-list'><li>F</ul><div class='user-comments'>G</div><p>Four</p></article>"
+    assert [x for x, p in lines(page) if p == 1] == ["One", "Two", "Three", "Four"]
+    assert [x for x, p in lines(page) if p == 2] == list("ABCDEFG")
+    assert [x for x, p in lines("<p class='ad'>A</p><p>One</p><div><p class='ad'>B</div>Two") if p == 0] == ["One", "Two"]
+
+
+def test_markup_of_any_size_is_read_in_one_pass():
+    import time
+
+    for page in ('<a "' * 750_000, "<a " * 1_000_000, "<div>x" * 200_000 + "</b>" * 300_000, "<nav>" * 300_000 + "<article>x", "<p class='ad'>" * 200_000, "<!--" * 700_000, '<p a="' * 400_000, "<p a = " * 400_000, "<script>" * 300_000, "</" * 1_000_000):
+        begin = time.time()
+        lines(page)
+        assert time.time() - begin < 5, page[:20]
+
+
 def test_common_is_a_longest_subsequence():
     pick = random.Random(3)
     for _ in range(400):
