@@ -161,99 +161,285 @@ def tool_params_static(df: DataFrame, keys: Sequence[str], force: Vec, torque: V
     )
 
 
-def _dynamic_equations(force: Vec, torque: Vec, g_s: Vec, acc: Vec, omega: Vec, alpha: Vec, mass: float, cog: Vec, gyro: bool, torque_weight: float) -> list[Equation]:
-    from sensorframe.functions.wrench import internal_wrench
+def _moving_tool(x: np.ndarray, gyro: np.ndarray, lin: np.ndarray, mass: float, cog: np.ndarray, fit_cog: bool, torque_weight: float) -> tuple[np.ndarray, np.ndarray]:
+    """Residuals (rows, 6) and their model's slopes (rows, 6, parameters) of G13 at ``lin``: biases, centre if it is free, INERTIA.
 
-    zero = [F.lit(0.0)] * 6
-    f_int, t_int = internal_wrench(g_s, acc, omega, alpha, F.lit(mass), cog, zero)
-    eqs: list[Equation] = [({F0[i]: F.lit(1.0)}, force[i] - f_int[i]) for i in range(3)]
+    ``x`` holds force, torque, gravity, acceleration, angular velocity and angular acceleration, three columns each.
+    """
+    force, torque, grav, acc, omega, alpha = (x[:, 3 * k:3 * k + 3] for k in range(6))
+    n, eye = len(x), np.eye(3)
+
+    def through(v: np.ndarray) -> np.ndarray:
+        """Inertia times ``v`` by the six entries."""
+        a, b, c = v.T
+        o = np.zeros(n)
+        return np.stack([np.stack(row, axis=1) for row in ((a, o, o, b, c, o), (o, b, o, a, o, c), (o, o, c, o, a, b))], axis=1)
+
+    spin = np.stack([np.cross(omega, through(omega)[:, :, k]) for k in range(6)], axis=2)
+    by_inertia = through(alpha) + gyro[:, None, None] * spin
+    center = lin[6:9] if fit_cog else cog
+    inner = mass * (grav + acc + np.cross(alpha, center) + np.cross(omega, np.cross(omega, center)))
+    slope = np.zeros((n, 6, len(lin)))
+    slope[:, :3, :3] = eye
+    slope[:, 3:, 3:6] = eye
+    slope[:, 3:, -6:] = by_inertia
+    if fit_cog:
+        for k in range(3):
+            turn = mass * (np.cross(alpha, eye[k]) + np.cross(omega, np.cross(omega, eye[k])))
+            slope[:, :3, 6 + k] = turn
+            slope[:, 3:, 6 + k] = np.cross(eye[k], inner) + np.cross(center, turn)
+    left = np.concatenate([force - inner - lin[:3], torque - np.cross(center, inner) - by_inertia @ lin[-6:] - lin[3:6]], axis=1)
+    left[:, 3:] *= torque_weight
+    slope[:, 3:] *= torque_weight
+    return left, slope
+
+
+# Logarithms of the Cholesky factor's diagonal, and what stands below it.
+FACTOR = ("l11", "l22", "l33", "l21", "l31", "l32")
+# No diagonal entry of the factor is below e to this: no principal moment is numerically zero.
+_LEAST_LOG = -13.8
+# Step control: damping at the start, and where a step that still does not help ends a fit.
+_DAMPING, _MOST_DAMPING = 1e-3, 1e10
+
+
+def _factor(theta: np.ndarray) -> np.ndarray:
+    a, b, c, d, e, f = theta
+    return np.array([[np.exp(a), 0.0, 0.0], [d, np.exp(b), 0.0], [e, f, np.exp(c)]])
+
+
+def _inertia_of(theta: np.ndarray) -> np.ndarray:
+    """``INERTIA`` entries of the factor's parameters."""
+    low = _factor(theta)
+    m = low @ low.T
+    return np.array([m[0, 0], m[1, 1], m[2, 2], m[0, 1], m[0, 2], m[1, 2]])
+
+
+def _inertia_slope(theta: np.ndarray) -> np.ndarray:
+    """Derivatives of the ``INERTIA`` entries (rows) by the factor's parameters."""
+    low = _factor(theta)
+    out = np.zeros((6, 6))
+    for k, (i, j) in enumerate(((0, 0), (1, 1), (2, 2), (1, 0), (2, 0), (2, 1))):
+        d = np.zeros((3, 3))
+        d[i, j] = low[i, j] if i == j else 1.0
+        m = d @ low.T
+        m = m + m.T
+        out[:, k] = m[0, 0], m[1, 1], m[2, 2], m[0, 1], m[0, 2], m[1, 2]
+    return out
 
-    def basis(v: Vec) -> list[dict[str, Column]]:
-        x, y, z = v
-        return [{"ixx": x, "ixy": y, "ixz": z}, {"ixy": x, "iyy": y, "iyz": z}, {"ixz": x, "iyz": y, "izz": z}]
 
-    lin = basis(alpha)
-    turn = basis(omega)
-    for i in range(3):
-        coef = dict(lin[i])
-        if gyro:
-            j, k = (i + 1) % 3, (i + 2) % 3
-            for p, c in turn[k].items():
-                coef[p] = coef.get(p, F.lit(0.0)) + omega[j] * c
-            for p, c in turn[j].items():
-                coef[p] = coef.get(p, F.lit(0.0)) - omega[k] * c
-        coef[TAU0[i]] = F.lit(1.0)
-        w = F.lit(float(torque_weight))
-        eqs.append(({p: w * c for p, c in coef.items()}, w * (torque[i] - t_int[i])))
-    return eqs
+def _factor_of(inertia: np.ndarray) -> np.ndarray:
+    """Parameters of the nearest inertia whose principal moments are positive; a small ball where there is nothing to go by."""
+    xx, yy, zz, xy, xz, yz = np.nan_to_num(inertia)
+    values, vectors = np.linalg.eigh(np.array([[xx, xy, xz], [xy, yy, yz], [xz, yz, zz]]))
+    top = max(float(np.abs(values).max()), 1e-3)
+    low = np.linalg.cholesky((vectors * np.maximum(values, 1e-2 * top)) @ vectors.T)
+    return np.array([*np.log(np.diag(low)), low[1, 0], low[2, 0], low[2, 1]])
+
+
+def _damped_step(state: dict, found: dict, names: Sequence[str], tol: float) -> dict:
+    """One fit's next state from the sums at its trial point.
+
+    The trial point becomes the current one if the cost fell there, and the damping falls; else the damping rises and a shorter step
+    from the current point is tried. ``status`` is set when no step is worth while any more.
+    """
+    out = dict(state)
+    out["rounds"] += 1
+    wide = len(names)
+    n_lin = wide - 6
+    if found["cost"] is not None and np.isfinite(found["cost"]) and (state["cost"] is None or found["cost"] <= state["cost"]):
+        fell = None if state["cost"] is None else state["cost"] - found["cost"]
+        out.update(found, theta=state["trial"], damping=max(state["damping"] / 10, 1e-12))
+        moved = np.max(np.abs(np.subtract(state["trial"], state["theta"])) / (1 + np.abs(state["theta"])))
+        out["near"] = float(fell is not None and fell <= 0.02 * found["cost"])
+        if fell is not None and (moved <= tol or fell <= 1e-3 * tol * found["cost"]):
+            out["status"] = "converged"
+            return out
+    elif state["cost"] is None:
+        out.update(status="no usable rows")
+        return out
+    else:
+        out["damping"] = state["damping"] * 10
+        if out["damping"] > _MOST_DAMPING:
+            # Not even the shortest step along the slope helps: a minimum within rounding.
+            out["status"] = "converged"
+            return out
+    theta = np.array(out["theta"])
+    a = np.zeros((wide, wide))
+    a[np.triu_indices(wide)] = out["b" if out["near"] else "a"]
+    a = a + np.triu(a, 1).T
+    t = np.eye(wide)
+    t[n_lin:, n_lin:] = _inertia_slope(theta[n_lin:])
+    hess, slope = t.T @ a @ t, t.T @ np.array(out["g"])
+    scale = np.sqrt(np.maximum(np.diag(hess), 1e-300))
+    if np.max(np.abs(slope / scale)) <= tol * np.sqrt(1 + out["cost"]) * 1e-3:
+        out["status"] = "converged"
+        return out
+    step = np.linalg.lstsq(hess + out["damping"] * np.diag(np.maximum(np.diag(hess), 1e-12)), slope, rcond=1e-15)[0]
+    # The factor's diagonal may change by e a step.
+    step[n_lin:n_lin + 3] = np.clip(step[n_lin:n_lin + 3], -1.0, 1.0)
+    trial = theta + step
+    trial[n_lin:n_lin + 3] = np.maximum(trial[n_lin:n_lin + 3], _LEAST_LOG)
+    out["trial"] = trial.tolist()
+    return out
 
 
 def tool_params_dynamic(
     df: DataFrame, keys: Sequence[str], force: Vec, torque: Vec, g_s: Vec, acc: Vec, omega: Vec, alpha: Vec, *,
-    mass: float, cog: Sequence[float], fit_cog: bool = False, gyro: bool = False, torque_weight: float = 1.0,
-    outer_rounds: int = 40,
+    mass: float, cog: Sequence[float], fit_cog: bool = False, gyro: bool | Column = False, torque_weight: float = 1.0,
+    rounds: int = 200, tol: float = 1e-9,
 ) -> DataFrame:
-    """Biases and inertia (and centre of gravity) of a moving tool under the smooth L1 loss.
+    """Biases and inertia (and centre of gravity) of a moving tool under the smooth L1 loss; the inertia is positive definite.
 
-    With a fixed centre of gravity the model is linear. A free one takes Gauss-Newton steps, each with the weights
-    of the step before. ``inertia_is_spd`` tells whether the inertia is positive definite, which the fit does not force.
+    The inertia is ``L L'`` of a factor whose diagonal is given by logarithms, so no step can leave the positive definite ones. All
+    groups take damped Gauss-Newton steps together: a round is one aggregate of products over the rows, at each group's own
+    trial point, and a small solve per group with a damping of its own. Groups that are done leave the rows. ``gyro`` may differ by row.
+
+    ``status`` is ``converged``, ``no usable rows`` or, after ``rounds``, ``not converged``; ``converged`` and ``rounds`` stand beside it.
+    Rows with a null or non-finite value take no part and are not counted in ``n``.
     """
-    df = stage(df)
-    params = [*F0, *TAU0, *INERTIA]
-    at = [f"_{n}" for n in COG]
-    c = df.select(*keys).distinct().select(*keys, *[F.lit(float(v)).alias(n) for v, n in zip(cog, at)])
-    cols = [F.col(n) for n in at]
-    theta = None
-    for _ in range(outer_rounds if fit_cog else 1):
-        rows = stage(attach(df, c, keys))
-        eqs = _dynamic_equations(force, torque, g_s, acc, omega, alpha, mass, cols, gyro, torque_weight)
-        if fit_cog:
-            eqs = [(_with_cog_slope(coef, i, force, g_s, acc, omega, alpha, mass, cols, torque_weight), rhs) for i, (coef, rhs) in enumerate(eqs)]
-        names = params + (["dcx", "dcy", "dcz"] if fit_cog else [])
-        if not fit_cog:
-            theta = soft_l1(rows, keys, names, eqs)
-            break
-        if theta is None:
-            theta = stage(least_squares(rows, keys, names, eqs, ridge=1e-12))
-        else:
-            still = theta.withColumns({f"d{n}": F.lit(0.0) for n in COG})
-            theta = soft_l1(rows, keys, names, eqs, rounds=1, start=still)
-        moved = attach(c, theta, keys)
-        c = stage(moved.select(*keys, *[(F.col(a) + F.col(f"d{n}")).alias(a) for a, n in zip(at, COG)]))
-        step = theta.agg(F.max(F.greatest(*[F.abs(F.col(f"d{n}")) for n in COG])).alias("m")).first()["m"]
-        if step is None or step < 1e-10:
+    if not isinstance(gyro, Column):
+        gyro = F.lit(bool(gyro))
+    used = {f"_u{i}": c.cast("double") for i, c in enumerate([*force, *torque, *g_s, *acc, *omega, *alpha])}
+    columns = list(used)
+    usable = reduce(lambda x, y: x & y, [F.abs(F.col(c)) <= 1.7976931348623157e308 for c in columns])
+    rows = df.select(*keys, *[c.alias(n) for n, c in used.items()], F.coalesce(gyro, F.lit(False)).cast("double").alias("_gyro"))
+    rows = stage(rows.withColumns({n: F.when(usable, F.col(n)) for n in columns}))
+    start_cog = np.array([float(v) for v in cog])
+    params = [*F0, *TAU0, *(COG if fit_cog else []), *INERTIA]
+    wide = len(params)
+    pairs = [(i, j) for i in range(wide) for j in range(i, wide)]
+    key_fields = [df.schema[k] for k in keys]
+    sums_schema = T.StructType(key_fields + [T.StructField("sums", T.ArrayType(T.DoubleType()))])
+
+    def products(weighted: bool):
+        """Sums of products over a task's rows, one row for each group in it."""
+        def run(batches):
+            held: dict[tuple, np.ndarray] = {}
+            for pdf in batches:
+                groups = pdf.groupby(list(keys), sort=False, dropna=False).indices.items() if keys else [((), np.arange(len(pdf)))] if len(pdf) else []
+                values, turns = pdf[columns].to_numpy(float), pdf["_gyro"].to_numpy(float)
+                for key, at in groups:
+                    lin = np.asarray(pdf["lin"].iloc[at[0]], float)
+                    at = at[np.isfinite(values[at]).all(axis=1)]
+                    r, j = _moving_tool(values[at], turns[at], lin, mass, start_cog, fit_cog, torque_weight)
+                    w = 1 / np.sqrt(1 + r * r) if weighted else np.ones_like(r)
+                    # A bound of the loss's curvature, which is safe from afar, and the curvature itself, which is quick near by.
+                    a, b = (np.einsum("nkp,nkq->pq", j * u[:, :, None], j, optimize=True) for u in (w, w**3))
+                    g = np.einsum("nkp,nk->p", j, w * r)
+                    own = [*a[np.triu_indices(wide)], *b[np.triu_indices(wide)], *g, (np.sqrt(1 + r * r) - 1).sum(), (r[:, :3] ** 2).sum(), (r[:, 3:] ** 2).sum() / torque_weight**2, len(at)]
+                    key = key if isinstance(key, tuple) else (key,)
+                    held[key] = held.get(key, 0.0) + np.array(own)
+                if len(held) > 20_000:
+                    yield out(held)
+                    held = {}
+            if held:
+                yield out(held)
+
+        def out(held):
+            pdf = pd.DataFrame(list(held), columns=list(keys)) if keys else pd.DataFrame(index=range(len(held)))
+            return pdf.assign(sums=[v.tolist() for v in held.values()])
+
+        return run
+
+    def added(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf[:1].assign(sums=[np.sum(pdf["sums"].tolist(), axis=0).tolist()])
+
+    def summed(at: DataFrame, weighted: bool) -> DataFrame:
+        # A group has a row of sums from each task at most.
+        return at.mapInPandas(products(weighted), sums_schema).groupBy(*keys).applyInPandas(added, sums_schema)
+
+    array = T.ArrayType(T.DoubleType())
+    state_schema = T.StructType(key_fields + [T.StructField(n, array) for n in ("theta", "trial", "lin", "a", "b", "g")] + [
+        T.StructField(n, T.DoubleType()) for n in ("cost", "damping", "near", "sq_f", "sq_t", "n")] + [T.StructField("rounds", T.IntegerType()), T.StructField("status", T.StringType())])
+    fields = ("theta", "trial", "a", "b", "g", "cost", "damping", "near", "sq_f", "sq_t", "n", "rounds", "status")
+
+    def linear(theta: Sequence[float]) -> list[float]:
+        return [*theta[:-6], *_inertia_of(np.asarray(theta[-6:]))]
+
+    def rows_of(states: list[dict], pdf: pd.DataFrame) -> pd.DataFrame:
+        out = pdf[list(keys)].copy()
+        for n in fields:
+            out[n] = pd.Series([s[n] for s in states], index=out.index, dtype=object if n in ("theta", "trial", "a", "b", "g", "status") else None)
+        out["lin"] = pd.Series([linear(s["trial"]) for s in states], index=out.index, dtype=object)
+        return out[[f.name for f in state_schema]]
+
+    def found_in(r: dict) -> dict:
+        a, b, g, rest = np.split(np.asarray(r["sums"], float), np.cumsum([len(pairs), len(pairs), wide]))
+        return {"a": a, "b": b, "g": g, **dict(zip(("cost", "sq_f", "sq_t", "n"), rest.tolist()))}
+
+    def begin(batches):
+        """Plain least squares with the given centre: one full step from nothing."""
+        kept = [i for i in range(wide) if not (fit_cog and 6 <= i < 9)]
+        for pdf in batches:
+            states = []
+            for r in pdf.to_dict("records"):
+                sums = found_in(r)
+                a = np.zeros((wide, wide))
+                a[np.triu_indices(wide)] = sums["a"]
+                a = a + np.triu(a, 1).T
+                lin = np.linalg.lstsq(a[np.ix_(kept, kept)], np.array(sums["g"])[kept], rcond=1e-13)[0]
+                theta = [*lin[:6], *(start_cog if fit_cog else []), *_factor_of(lin[6:])]
+                states.append({"theta": theta, "trial": theta, "a": None, "b": None, "g": None, "cost": None, "damping": _DAMPING, "near": 0.0, "sq_f": None, "sq_t": None, "n": sums["n"], "rounds": 0, "status": None if sums["n"] else "no usable rows"})
+            yield rows_of(states, pdf)
+
+    def update(batches):
+        for pdf in batches:
+            states = []
+            for r in pdf.to_dict("records"):
+                state = {n: r[f"_{n}"] for n in fields}
+                state["cost"] = None if pd.isna(state["cost"]) else state["cost"]
+                states.append(_damped_step(state, found_in(r), params, tol))
+            yield rows_of(states, pdf)
+
+    nothing = [0.0] * wide
+    if fit_cog:
+        nothing[6:9] = start_cog.tolist()
+    zero = F.array(*map(F.lit, nothing))
+    first = summed(rows.withColumn("lin", zero), False)
+    state = stage(first.mapInPandas(begin, state_schema), "fit")
+    done = []
+    for _ in range(rounds):
+        done.append(state.where("status is not null"))
+        state = state.where("status is null")
+        if state.isEmpty():
             break
-    rows = with_params(attach(df, c, keys), theta.select(*keys, *params), keys)
-    eqs = _dynamic_equations(force, torque, g_s, acc, omega, alpha, mass, cols, gyro, 1.0)
-    res = residuals(eqs)
-    rms = rows.groupBy(*keys).agg(
-        F.sqrt(F.avg(reduce(add, [r * r for r in res[:3]]))).alias("rmsF"),
-        F.sqrt(F.avg(reduce(add, [r * r for r in res[3:]]))).alias("rmsT"),
-        F.count("*").alias("n"),
-    )
-    out = attach(attach(theta.select(*keys, *params), c.withColumnsRenamed(dict(zip(at, COG))), keys), rms, keys)
-    # Leading minors decide positive definiteness of a symmetric matrix.
-    xx, yy, zz, xy, xz, yz = [F.col(p) for p in INERTIA]
-    det = xx * (yy * zz - yz * yz) - xy * (xy * zz - yz * xz) + xz * (xy * yz - yy * xz)
-    return out.withColumn("inertia_det", det).withColumn("inertia_is_spd", (xx > 0) & (xx * yy - xy * xy > 0) & (det > 0))
-
-
-def _with_cog_slope(coef, i, force, g_s, acc, omega, alpha, mass, cog, torque_weight):
-    """Add the derivative of equation ``i``'s model by the centre of gravity."""
-    from sensorframe.functions.geometry import vadd
-    from sensorframe.functions.wrench import internal_wrench
-
-    out = dict(coef)
-    zero = [F.lit(0.0)] * 6
-    f_int, _ = internal_wrench(g_s, acc, omega, alpha, F.lit(mass), cog, zero)
-    for axis, name in enumerate(("dcx", "dcy", "dcz")):
-        e = [F.lit(1.0 if k == axis else 0.0) for k in range(3)]
-        df_dc = [F.lit(mass) * x for x in vadd(cross(alpha, e), cross(omega, cross(omega, e)))]
-        if i < 3:
-            out[name] = df_dc[i]
-        else:
-            out[name] = F.lit(float(torque_weight)) * vadd(cross(e, f_int), cross(cog, df_dc))[i - 3]
-    return out
+        sums = summed(attach(rows, state.select(*keys, "lin"), keys, written=True).where("lin is not null"), True)
+        before = state.select(*[F.col(k).alias(f"_g_{k}") for k in keys], *[F.col(n).alias(f"_{n}") for n in fields])
+        same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_g_{k}")) for k in keys], F.lit(True))
+        state = stage(sums.join(before, same).mapInPandas(update, state_schema), "fit")
+    done += [state.where("status is not null"), state.where("status is null").withColumn("status", F.lit("not converged"))]
+    fitted = reduce(DataFrame.unionByName, done)
+
+    double = [*F0, *TAU0, *COG, *INERTIA, "cost", "rmsF", "rmsT", "moment1", "moment2", "moment3", "inertia_det"]
+    result = T.StructType(key_fields + [T.StructField(n, T.DoubleType()) for n in double] + [
+        T.StructField("n", T.LongType()), T.StructField("rounds", T.IntegerType()), T.StructField("status", T.StringType()), T.StructField("converged", T.BooleanType()), T.StructField("inertia_is_spd", T.BooleanType())])
+
+    def finish(batches):
+        for pdf in batches:
+            out = pdf[list(keys)].copy()
+            none = pdf["n"].to_numpy() == 0
+            values = np.array([linear(t) for t in pdf["theta"]]).reshape(len(pdf), wide)
+            values[none] = np.nan
+            for n, v in zip(COG, start_cog):
+                out[n] = v
+            for i, n in enumerate(params):
+                out[n] = values[:, i]
+            for n in ("cost", "rounds", "status"):
+                out[n] = pdf[n].to_numpy()
+            out["n"] = pdf["n"].to_numpy().astype(np.int64)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                out["rmsF"], out["rmsT"] = (np.sqrt(pdf[c].to_numpy(float) / pdf["n"].to_numpy(float)) for c in ("sq_f", "sq_t"))
+            out["converged"] = out["status"] == "converged"
+            m = np.nan_to_num(values[:, [-6, -3, -2, -3, -5, -1, -2, -1, -4]]).reshape(-1, 3, 3)
+            moments = np.linalg.eigvalsh(m) if len(m) else np.zeros((0, 3))
+            moments[none] = np.nan
+            for k in range(3):
+                out[f"moment{k + 1}"] = moments[:, k]
+            out["inertia_det"] = moments.prod(axis=1)
+            out["inertia_is_spd"] = (moments > 0).all(axis=1)
+            yield out[[f.name for f in result]]
+
+    return stage(fitted.mapInPandas(finish, result), "fitted")
 
 
 def through_origin(df: DataFrame, keys: Sequence[str], x: Column, y: Column) -> DataFrame:

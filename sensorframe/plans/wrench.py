@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorframe.functions import geometry as g
 from sensorframe.functions import wrench as wr
-from sensorframe.operators import fits, metrics
+from sensorframe.operators import fits, metrics, selection
 from sensorframe.operators.asof import asof_join
 from sensorframe.operators.filters import lowpass, savgol
 from sensorframe.operators.interp import gradient, interpolate_clamped, interpolate_pose, rolling_median, sampling_rate
@@ -116,14 +118,11 @@ def compensate_wrench(
     return lowpass(ext, s, names, rate_hz, cutoff_hz=cutoff_hz)
 
 
-def dynamic_signals(
-    poses: DataFrame, wrench_times: DataFrame, s: Series, *, device_sensor: Sequence[float], lever: Sequence[float],
-    windows: tuple[int, int] = (31, 31), orders: tuple[int, int] = (3, 3),
-) -> DataFrame:
-    """Sensor-frame acceleration, angular velocity and angular acceleration at the wrench times.
+def smoothed_signals(poses: DataFrame, s: Series, windows: tuple[int, int] = (31, 31), orders: tuple[int, int] = (3, 3)) -> DataFrame:
+    """First half of G14: device-frame acceleration, angular velocity and angular acceleration at the pose times, under one smoothing.
 
-    ``poses`` has a world pose, device-frame linear velocity ``vx..`` and angular velocity ``ox..``. Velocities are
-    smoothed, differentiated on the true times, interpolated and moved to the sensor by the fixed ``lever``.
+    ``poses`` has a world pose, device-frame linear velocity ``vx..`` and angular velocity ``ox..``. Velocities are smoothed
+    (``windows`` and ``orders``: linear, angular) and differentiated on the true times.
     """
     m = g.quat_to_matrix(_c(("qx", "qy", "qz", "qw")))
     world = g.rotate(m, _c(("vx", "vy", "vz")))
@@ -133,11 +132,15 @@ def dynamic_signals(
     names = ["vwx_s", "vwy_s", "vwz_s", "ox_s", "oy_s", "oz_s"]
     grad = stage(gradient(sm, s, names))
     back = g.rotate(g.transpose(g.quat_to_matrix(_c(("qx", "qy", "qz", "qw")))), _c(("vwx_s_d", "vwy_s_d", "vwz_s_d")))
-    sig = stage(grad.select(
+    return stage(grad.select(
         *s.keys, s.ts, *[c.alias(n) for c, n in zip(back, ("ax", "ay", "az"))],
         *[F.col(f"o{a}_s").alias(f"o{a}") for a in "xyz"], *[F.col(f"o{a}_s_d").alias(f"l{a}") for a in "xyz"],
     ))
-    at = interpolate_clamped(wrench_times, sig, s, ["ax", "ay", "az", "ox", "oy", "oz", "lx", "ly", "lz"])
+
+
+def signals_at(times: DataFrame, signals: DataFrame, s: Series, *, device_sensor: Sequence[float], lever: Sequence[float]) -> DataFrame:
+    """Second half of G14: smoothed signals interpolated at the rows of ``times`` and moved to the sensor by the fixed ``lever``."""
+    at = interpolate_clamped(times, signals, s, ["ax", "ay", "az", "ox", "oy", "oz", "lx", "ly", "lz"])
     r = g.lits(lever)
     om, al = _c(("ox", "oy", "oz")), _c(("lx", "ly", "lz"))
     acc = g.vadd(_c(("ax", "ay", "az")), g.vadd(g.cross(al, r), g.cross(om, g.cross(om, r))))
@@ -145,7 +148,15 @@ def dynamic_signals(
     out = {}
     for prefix, v in (("a", acc), ("o", om), ("l", al)):
         out.update({f"{prefix}{a}": c for a, c in zip("xyz", g.rotate(turn, v))})
-    return at.select(*wrench_times.columns, *[c.alias(n) for n, c in out.items()])
+    return at.select(*times.columns, *[c.alias(n) for n, c in out.items()])
+
+
+def dynamic_signals(
+    poses: DataFrame, wrench_times: DataFrame, s: Series, *, device_sensor: Sequence[float], lever: Sequence[float],
+    windows: tuple[int, int] = (31, 31), orders: tuple[int, int] = (3, 3),
+) -> DataFrame:
+    """Sensor-frame acceleration, angular velocity and angular acceleration at the wrench times."""
+    return signals_at(wrench_times, smoothed_signals(poses, s, windows, orders), s, device_sensor=device_sensor, lever=lever)
 
 
 def motor_calibration(motor: DataFrame, wrench: DataFrame, s: Series, *, tolerance: int = 5_000_000, low: float = wr.CURRENT_MIN_MA, high: float = wr.CURRENT_MAX_MA) -> tuple[DataFrame, DataFrame]:
@@ -167,13 +178,97 @@ def motor_calibration(motor: DataFrame, wrench: DataFrame, s: Series, *, toleran
     return one, fits.binned_slope(rows, s.keys, F.col("effort"), F.col("x"), F.col("y"), low=low, high=high)
 
 
-def sweep(rows: DataFrame, configs: DataFrame, keys: Sequence[str], signals, **fit) -> DataFrame:
-    """Fit every (recording, candidate) pair in one job.
+@dataclass(frozen=True)
+class Smoothing:
+    """One smoothing candidate, window length and polynomial order of linear and of angular velocity."""
+
+    linear_window: int = 21
+    linear_order: int = 3
+    angular_window: int = 21
+    angular_order: int = 3
+
+
+CANDIDATE = "candidate bigint, smoothing int, gyro boolean, offset_ns bigint"
 
-    ``signals(rows, configs)`` returns rows that carry the candidate key, force, torque, gravity, acceleration,
-    angular velocity and angular acceleration; the fit then treats a candidate like a recording.
+
+def signal_bank(poses: DataFrame, s: Series, smoothings: Sequence[Smoothing]) -> DataFrame:
+    """Signals of all recordings under every smoothing candidate, each computed once: ``smoothing`` numbers them from 0."""
+    parts = [
+        smoothed_signals(poses, s, (c.linear_window, c.angular_window), (c.linear_order, c.angular_order)).withColumn("smoothing", F.lit(i)) for i, c in enumerate(smoothings)
+    ]
+    return stage(reduce(DataFrame.unionByName, parts), "signals")
+
+
+def sweep(
+    wrench: DataFrame, bank: DataFrame, s: Series, candidates: DataFrame, *, device_sensor: Sequence[float], lever: Sequence[float], mass: float, cog: Sequence[float], **fit,
+) -> DataFrame:
+    """The dynamic fit of every (recording, candidate) pair, all in the same rounds.
+
+    ``candidates`` (columns of CANDIDATE, and the series keys where they differ by recording) names a smoothing of ``bank``, whether the
+    gyroscopic term is on, and what is added to a wrench time before signals are taken there. Signals are sampled once for each smoothing
+    and offset; candidates that share these share the rows. Samples outside of the recording's poses take no part.
+    ``wrench`` has force, torque and sensor-frame gravity. Gives the fit of each pair with ``n``, ``n_outside``, ``acc_mean, acc_max, ang_acc_mean,
+    ang_acc_max`` (A16) of its signals, and the candidate's columns.
     """
-    return fits.tool_params_dynamic(
-        signals(rows, configs), [*keys, "candidate"], _c(FORCE), _c(TORQUE), _c(GRAV), _c(("ax", "ay", "az")), _c(("ox", "oy", "oz")),
-        _c(("lx", "ly", "lz")), **fit,
-    )
+    own = [k for k in s.keys if k in candidates.columns]
+    candidates = stage(candidates, "candidates")
+    span = bank.groupBy(*s.keys).agg(F.min(s.ts).alias("_first"), F.max(s.ts).alias("_last"))
+    pairs = candidates.select(*own, "smoothing", "offset_ns").distinct()
+    times = attach(wrench, span, s.keys)
+    # Without keys the candidates are a list that somebody wrote.
+    side = candidates if own else F.broadcast(candidates)
+    times = times.join(pairs, own) if own else times.crossJoin(F.broadcast(pairs))
+    times = times.withColumn(s.ts, F.col(s.ts) + F.col("offset_ns")).withColumn("_in", F.coalesce(F.col(s.ts).between(F.col("_first"), F.col("_last")), F.lit(False)))
+    series = Series([*s.keys, "smoothing"], s.ts, (), s.cell_ns, s.target_rows)
+    taken = stage(signals_at(times.where("_in"), bank, series, device_sensor=device_sensor, lever=lever), "sampled")
+    rows = taken.join(side, [*own, "smoothing", "offset_ns"])
+    keys = [*s.keys, "candidate"]
+    found = fits.tool_params_dynamic(rows, keys, _c(FORCE), _c(TORQUE), _c(GRAV), _c(("ax", "ay", "az")), _c(("ox", "oy", "oz")), _c(("lx", "ly", "lz")), mass=mass, cog=cog, gyro=F.col("gyro"), **fit)
+    per = [*s.keys, "smoothing", "offset_ns"]
+    acc, ang = g.norm(_c(("ax", "ay", "az"))), g.norm(_c(("lx", "ly", "lz")))
+    stats = taken.groupBy(*per).agg(F.avg(acc).alias("acc_mean"), F.max(acc).alias("acc_max"), F.avg(ang).alias("ang_acc_mean"), F.max(ang).alias("ang_acc_max"))
+    outside = times.groupBy(*per).agg(F.count(F.when(~F.col("_in"), 1)).alias("n_outside"))
+    # One row for every pair, also where no sample is inside.
+    every = outside.join(stats, per, "left").join(side, [*own, "smoothing", "offset_ns"])
+    return stage(every.join(found, keys, "left").withColumns({"status": F.coalesce("status", F.lit("no usable rows")), "converged": F.coalesce("converged", F.lit(False)), "n": F.coalesce("n", F.lit(0))}), "swept")
+
+
+def _ranked(swept: DataFrame, smoothings: Sequence[Smoothing]) -> DataFrame:
+    """Columns that the rankings look at."""
+    sizes = swept.sparkSession.createDataFrame([(i, c.linear_window, c.linear_order) for i, c in enumerate(smoothings)], "smoothing int, window int, order int")
+    valid = F.col("converged") & F.coalesce(F.col("inertia_is_spd"), F.lit(False))
+    return stage(swept.join(F.broadcast(sizes), "smoothing").withColumns({
+        "success": F.col("converged"), "valid": valid, "rms_t": F.col("rmsT"), "rms_f": F.col("rmsF"), "offset_ms": F.col("offset_ns") / 1e6,
+    }))
+
+
+def calibrate(
+    wrench: DataFrame, poses: DataFrame, s: Series, smoothings: Sequence[Smoothing], offsets_ns: Sequence[int] = (0,), *, gyro: bool = True, compare_gyro: bool = True,
+    device_sensor: Sequence[float], lever: Sequence[float], mass: float, cog: Sequence[float], **fit,
+) -> tuple[DataFrame, DataFrame]:
+    """Choose smoothing (O6), then gyroscopic term (O7), then time offset (O8) for every recording, each by fits of all candidates.
+
+    Recordings go through together and may choose differently. Returns the chosen fit of each recording and all fits made, with a
+    ``step`` of ``smoothing``, ``gyro`` or ``offset``. ``wrench`` has force, torque and sensor-frame gravity; ``poses`` as for ``smoothed_signals``.
+    """
+    spark = wrench.sparkSession
+    bank = signal_bank(poses, s, smoothings)
+    fixed = dict(device_sensor=device_sensor, lever=lever, mass=mass, cog=cog, **fit)
+    table = spark.createDataFrame([(i, i, gyro, 0) for i in range(len(smoothings))], CANDIDATE)
+    runs = [_ranked(sweep(wrench, bank, s, table, **fixed), smoothings)]
+    best = stage(selection.best_smoothing(runs[0], s.keys).join(F.broadcast(table), "candidate").select(*s.keys, "smoothing"))
+
+    flags = [False, True] if compare_gyro else [gyro]
+    table = best.select(*s.keys, "smoothing", F.explode(F.array(*map(F.lit, flags))).alias("gyro")).withColumns({"candidate": F.col("gyro").cast("bigint"), "offset_ns": F.lit(0).cast("bigint")})
+    runs.append(_ranked(sweep(wrench, bank, s, table, **fixed), smoothings))
+    if compare_gyro:
+        chosen = selection.best_gyro(runs[-1], s.keys)
+        best = stage(best.join(chosen, list(s.keys)).select(*s.keys, "smoothing", (F.col("candidate") == 1).alias("gyro")))
+    else:
+        best = best.withColumn("gyro", F.lit(gyro))
+
+    table = best.select("*", F.posexplode(F.array(*[F.lit(int(o)).cast("bigint") for o in offsets_ns])).alias("candidate", "offset_ns")).withColumn("candidate", F.col("candidate").cast("bigint"))
+    runs.append(_ranked(sweep(wrench, bank, s, table, **fixed), smoothings))
+    last = selection.best_time_offset(runs[-1], s.keys)
+    made = reduce(DataFrame.unionByName, [r.withColumn("step", F.lit(n)) for r, n in zip(runs, ("smoothing", "gyro", "offset"))])
+    return runs[-1].join(last, [*s.keys, "candidate"]), made

@@ -191,11 +191,11 @@ def _tool_rows(spark, sf):
 _TRUE = {"mass": 0.5, "cog": (0.02, -0.01, 0.06), "f0": (1.0, -2.0, 0.5), "t0": (0.1, 0.05, -0.2), "inertia": (0.012, 0.015, 0.02, 0.001, -0.002, 0.0005)}
 
 
-def _measured(rows, moving):
+def _measured(rows, moving, gyro=False, noise=1e-3):
     zero = g.lits((0, 0, 0))
     acc, om, al = ([F.col(f"{p}{a}") for a in "xyz"] for p in "pvw") if moving else (zero, zero, zero)
-    f, t = wr.internal_wrench([F.col(c) for c in wplan.GRAV], acc, om, al, F.lit(_TRUE["mass"]), g.lits(_TRUE["cog"]), g.lits(_TRUE["inertia"]))
-    noise = F.col("px") * 1e-3
+    f, t = wr.internal_wrench([F.col(c) for c in wplan.GRAV], acc, om, al, F.lit(_TRUE["mass"]), g.lits(_TRUE["cog"]), g.lits(_TRUE["inertia"]), gyro=gyro)
+    noise = F.col("px") * noise
     return rows.select("*", *[(c + b + noise).alias(n) for c, b, n in zip(f, _TRUE["f0"], ("fx", "fy", "fz"))], *[(c + b + noise).alias(n) for c, b, n in zip(t, _TRUE["t0"], ("tx", "ty", "tz"))])
 
 
@@ -214,13 +214,50 @@ def tool_params_ls(spark, sf):
     return out.select("label", *[r6(c, 4).alias(c) for c in out.columns if c != "label"])
 
 
-@query("dynamic_fit")
+_PARAMS = [*zip(fits.F0, _TRUE["f0"]), *zip(fits.TAU0, _TRUE["t0"]), *zip(fits.COG, _TRUE["cog"]), *zip(fits.INERTIA, _TRUE["inertia"])]
+_TRUTH = ", ".join(f"round({v}::DOUBLE, 5) AS {n}" for n, v in _PARAMS)
+
+
+@query("dynamic_fit", f"""SELECT label, gyro, fit_cog, {_TRUTH}, count(*) AS n, true AS converged, true AS inertia_is_spd, 0.0::DOUBLE AS rms_t
+FROM embeddings, (VALUES (false), (true)) a(gyro), (VALUES (false), (true)) b(fit_cog) GROUP BY label, gyro, fit_cog""")
 def dynamic_fit(spark, sf):
-    rows = _measured(_tool_rows(spark, sf), True)
+    """Wrenches without noise give back the tool they were made with, in all four variants; a free centre starts elsewhere."""
     cols = [[F.col(c) for c in n] for n in (wplan.FORCE, wplan.TORQUE, wplan.GRAV)]
     move = [[F.col(f"{p}{a}") for a in "xyz"] for p in "pvw"]
-    out = fits.tool_params_dynamic(rows, ["label"], *cols, *move, mass=0.5, cog=_TRUE["cog"])
-    return out.select("label", *[r6(c, 4).alias(c) for c in (*fits.F0, *fits.TAU0, *fits.INERTIA)], "inertia_is_spd")
+    parts = [_measured(_tool_rows(spark, sf), True, flag, 0.0).withColumn("gyro", F.lit(flag)) for flag in (False, True)]
+    rows, out = parts[0].unionByName(parts[1]), None
+    for free in (False, True):
+        cog = (0.0, 0.0, 0.05) if free else _TRUE["cog"]
+        fit = fits.tool_params_dynamic(rows, ["label", "gyro"], *cols, *move, mass=0.5, cog=cog, fit_cog=free, gyro=F.col("gyro")).withColumn("fit_cog", F.lit(free))
+        out = fit if out is None else out.unionByName(fit)
+    return out.select("label", "gyro", "fit_cog", *[r6(n, 5).alias(n) for n, _ in _PARAMS], "n", "converged", "inertia_is_spd", r6("rmsT", 5).alias("rms_t"))
+
+
+_SMOOTHINGS = (wplan.Smoothing(5, 2, 5, 2), wplan.Smoothing(9, 3, 7, 2), wplan.Smoothing(13, 3, 9, 3))
+_LEVER = (0.1, -0.05, 0.2)
+_EYE = (1, 0, 0, 0, 1, 0, 0, 0, 1)
+
+
+@query("calibration_sweep", f"""SELECT label, 1 AS smoothing, true AS gyro, 0 AS offset_ns, {_TRUTH}, true AS converged, 0.0::DOUBLE AS rms_t FROM embeddings GROUP BY label""")
+def calibration_sweep(spark, sf):
+    """Of all candidates each recording finds the smoothing, the gyroscopic term and the time offset that its wrenches were made with."""
+    rows = _vec(spark, sf)
+    m = g.quat_to_matrix([F.col(c) for c in ("qx", "qy", "qz", "qw")])
+    step = 10_000_000
+    poses = rows.select("label", (F.col("vec_id") * step).alias("ts"), "qx", "qy", "qz", "qw", *[F.col(f"p{a}").alias(f"v{a}") for a in "xyz"], *[(F.col(f"v{a}") * 3).alias(f"o{a}") for a in "xyz"])
+    s = Series(["label"], cell_ns=HOUR_NS)
+    grav = [c.alias(n) for c, n in zip(wr.gravity_in_sensor(m), wplan.GRAV)]
+    times = rows.select("label", (F.col("vec_id") * step + F.when(F.col("vec_id") % 3 == 0, 3_000_000).otherwise(0)).alias("ts"), *grav)
+    truth = _SMOOTHINGS[1]
+    signals = wplan.smoothed_signals(poses, s, (truth.linear_window, truth.angular_window), (truth.linear_order, truth.angular_order))
+    moved = wplan.signals_at(times, signals, s, device_sensor=_EYE, lever=_LEVER)
+    vectors = [[F.col(f"{p}{a}") for a in "xyz"] for p in "aol"]
+    f, t = wr.internal_wrench([F.col(c) for c in wplan.GRAV], *vectors, F.lit(_TRUE["mass"]), g.lits(_TRUE["cog"]), g.lits(_TRUE["inertia"]), gyro=True)
+    wrench = moved.select("label", "ts", *wplan.GRAV, *[(c + b).alias(n) for c, b, n in zip((*f, *t), (*_TRUE["f0"], *_TRUE["t0"]), (*wplan.FORCE, *wplan.TORQUE))])
+    chosen, _ = wplan.calibrate(
+        wrench, poses, s, _SMOOTHINGS, (-4_000_000, 0, 4_000_000), device_sensor=_EYE, lever=_LEVER, mass=0.5, cog=_TRUE["cog"],
+    )
+    return chosen.select("label", "smoothing", "gyro", F.col("offset_ns").cast("int").alias("offset_ns"), *[r6(n, 5).alias(n) for n, _ in _PARAMS], "converged", r6("rmsT", 5).alias("rms_t"))
 
 
 _M = "SELECT event_id, ts, recorder/100.0 AS position, value/100 - 0.1 AS velocity, value*4 - 100 AS effort FROM samples WHERE topic='click'"
