@@ -233,7 +233,7 @@ def dynamic_fit(spark, sf):
     return out.select("label", "gyro", "fit_cog", *[r6(n, 5).alias(n) for n, _ in _PARAMS], "n", "converged", "inertia_is_spd", r6("rmsT", 5).alias("rms_t"))
 
 
-_SMOOTHINGS = (wplan.Smoothing(5, 2, 5, 2), wplan.Smoothing(9, 3, 7, 2), wplan.Smoothing(13, 3, 9, 3))
+_SMOOTHINGS = (wplan.Smoothing(5, 2, 5, 2), wplan.Smoothing(9, 3, 7, 2))
 _LEVER = (0.1, -0.05, 0.2)
 _EYE = (1, 0, 0, 0, 1, 0, 0, 0, 1)
 
@@ -255,7 +255,7 @@ def calibration_sweep(spark, sf):
     f, t = wr.internal_wrench([F.col(c) for c in wplan.GRAV], *vectors, F.lit(_TRUE["mass"]), g.lits(_TRUE["cog"]), g.lits(_TRUE["inertia"]), gyro=True)
     wrench = moved.select("label", "ts", *wplan.GRAV, *[(c + b).alias(n) for c, b, n in zip((*f, *t), (*_TRUE["f0"], *_TRUE["t0"]), (*wplan.FORCE, *wplan.TORQUE))])
     chosen, _ = wplan.calibrate(
-        wrench, poses, s, _SMOOTHINGS, (-4_000_000, 0, 4_000_000), device_sensor=_EYE, lever=_LEVER, mass=0.5, cog=_TRUE["cog"],
+        wrench, poses, s, _SMOOTHINGS, (0, 4_000_000), device_sensor=_EYE, lever=_LEVER, mass=0.5, cog=_TRUE["cog"], tol=1e-6, rounds=25,
     )
     return chosen.select("label", "smoothing", "gyro", F.col("offset_ns").cast("int").alias("offset_ns"), *[r6(n, 5).alias(n) for n, _ in _PARAMS], "converged", r6("rmsT", 5).alias("rms_t"))
 

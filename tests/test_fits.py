@@ -91,7 +91,8 @@ def test_rows_that_cannot_be_used(spark):
     assert out["none"].status == "no usable rows" and not out["none"].converged and out["none"].n == 0
     np.testing.assert_allclose([out["some"][c] for c in fits.INERTIA], inertia, atol=1e-7)
     assert fits.tool_params_dynamic(df.limit(0), ["rec"], *columns(), mass=0.49, cog=(0.0, 0.0, 0.0)).count() == 0
-    few = fits.tool_params_dynamic(df.where("rec = 'some'"), ["rec"], *columns(), mass=0.49, cog=(0.02, 0.01, 0.06), rounds=1).collect()[0]
+    loud = frame(spark, {"loud": made(rng, 80, inertia, 0.5, False)})
+    few = fits.tool_params_dynamic(loud, ["rec"], *columns(), mass=0.49, cog=(0.02, 0.01, 0.06), rounds=1).collect()[0]
     assert few.status == "not converged" and few.rounds == 1
 
 
