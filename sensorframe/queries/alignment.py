@@ -49,23 +49,20 @@ def robust_offset(spark, sf):
     return offsets.robust_offset(pairs, ["module"])
 
 
-@query("offset_cascade", _DET + f""", part AS (SELECT * FROM pairs WHERE (module >= 6 AND module % 3 = 0) OR (module < 6 AND qr_ts % {7 * DAY_NS} < {MIN_NS}))""" + _ROBUST.replace("FROM pairs", "FROM part") + """,
+@query("offset_cascade", _DET + _ROBUST + """,
 s AS (SELECT module, CASE WHEN module % 2 = 0 THEN arg_min(device_ts, device_ts) END AS fd, CASE WHEN module % 2 = 0 THEN arg_min(qr_ts, device_ts) END AS fq FROM det GROUP BY module)
 SELECT module, CASE WHEN coalesce(n_pairs, 0) >= 1 THEN offset_ns ELSE fq - fd END AS offset_ns,
  CASE WHEN n_pairs >= 2 THEN 'robust' WHEN n_pairs = 1 THEN 'single' WHEN fq IS NOT NULL THEN 'stored' ELSE 'manual' END AS method
 FROM s LEFT JOIN robust USING (module)""")
 def offset_cascade(spark, sf):
-    # Modules differ in what they saw, so that every branch occurs.
     det = _detections(spark, sf)
     pairs = stage(offsets.collapse_detections(det, ["module"]))
-    m = F.col("module")
-    some = pairs.where(((m >= 6) & (m % 3 == 0)) | ((m < 6) & (F.col("qr_ts") % F.lit(7 * DAY_NS).cast("bigint") < F.lit(MIN_NS).cast("bigint"))))
     first = offsets.first_detection(det, ["module"])
-    even = m % 2 == 0
+    even = F.col("module") % 2 == 0
     stored = first.select(
         "module", F.when(even, F.col("device_ts")).alias("first_device_ts"), F.when(even, F.col("qr_ts")).alias("first_qr_ts")
     )
-    return offsets.offset_cascade(offsets.robust_offset(some, ["module"]), stored, ["module"])
+    return offsets.offset_cascade(offsets.robust_offset(pairs, ["module"]), stored, ["module"])
 
 
 @query("first_detection", _DET + """ SELECT module, min(device_ts) AS device_ts, arg_min(qr_ts, device_ts) AS qr_ts FROM det GROUP BY module""")

@@ -292,13 +292,13 @@ def source_precedence(spark, sf):
 
 _WINDOWS = f"""w AS (SELECT o_orderkey AS window_id, (epoch_us(o_orderdate)*1000) % {30 * 24 * HOUR_NS} + 1704067200000000000 AS start_ns,
  (epoch_us(o_orderdate)*1000) % {30 * 24 * HOUR_NS} + 1704067200000000000 + (o_orderkey % 7 + 1)*{MIN_NS} AS end_ns
- FROM orders WHERE o_orderstatus = 'P')"""
+ FROM orders)"""
 
 
 def _windows(spark, sf):
     # Order dates folded into the month of the samples.
     start = ns("o_orderdate") % F.lit(30 * 24 * HOUR_NS).cast("bigint") + F.lit(1704067200000000000).cast("bigint")
-    return rig(table(spark, sf, "orders").where("o_orderstatus = 'P'")).select(
+    return rig(table(spark, sf, "orders")).select(
         "rig", F.col("o_orderkey").alias("window_id"), start.alias("start_ns"),
         (start + (F.col("o_orderkey") % 7 + 1) * F.lit(MIN_NS).cast("bigint")).alias("end_ns"),
     )

@@ -24,18 +24,17 @@ def _fit_matrix(window: int, order: int) -> np.ndarray:
     return hat @ np.linalg.pinv(hat)
 
 
-_FIT = "[" + ", ".join("[" + ", ".join(repr(float(v)) for v in row) + "]" for row in _fit_matrix(7, 2)) + "]"
+def _fit_sql(window: int, order: int) -> str:
+    return "[" + ", ".join("[" + ", ".join(repr(float(v)) for v in row) + "]" for row in _fit_matrix(window, order)) + "]"
 
 
 @query("savgol", f"""WITH {SAMPLES}, n AS (SELECT event_id, recorder, row_number() OVER (PARTITION BY recorder ORDER BY ts) AS k, count(*) OVER (PARTITION BY recorder) AS c,
  list(value) OVER (PARTITION BY recorder ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS a FROM samples),
-p AS (SELECT *, greatest(1, least(k-3, c-6)) AS s FROM n)
-SELECT event_id, round(list_dot_product(a[s:s+6], ({_FIT})[k-s+1]), 6)+0.0 AS smooth FROM p WHERE c >= 7""")
+p AS (SELECT *, greatest(1, least(k-3, c-6)) AS s, greatest(1, least(k-2, c-4)) AS t FROM n)
+SELECT event_id, round(CASE WHEN c >= 7 THEN list_dot_product(a[s:s+6], ({_fit_sql(7, 2)})[k-s+1]) WHEN c >= 5 THEN list_dot_product(a[t:t+4], ({_fit_sql(5, 2)})[k-t+1]) WHEN c >= 3 THEN a[k] END, 6)+0.0 AS smooth FROM p""")
 def savgol(spark, sf):
-    rows = samples(spark, sf).select("event_id", "ts", "recorder", "value")
-    big = rows.groupBy("recorder").agg(F.count("*").alias("c")).where("c >= 7").select("recorder")
-    out = filters.savgol(rows.join(big, "recorder"), REC, ["value"], 7, 2)
-    return out.select("event_id", r6("value_smooth").alias("smooth"))
+    out = filters.savgol(samples(spark, sf).select("event_id", "ts", "recorder", "value"), REC, ["value"], 7, 2)
+    return out.select("event_id", r6(F.when(~F.isnan("value_smooth"), F.col("value_smooth"))).alias("smooth"))
 
 
 @query("lowpass")
@@ -338,7 +337,7 @@ def evaluate_predictions(spark, sf):
     return out.select("head", "mode", "split", "n", r6("rmse").alias("rmse"), r6("bias").alias("bias"))
 
 
-_EP = f"""WITH {SAMPLES}, {_WINDOWS}, f AS (SELECT s.event_id, s.ts, w.window_id FROM samples s JOIN w ON s.ts BETWEEN w.start_ns - {3 * HOUR_NS} AND w.end_ns + {3 * HOUR_NS} WHERE s.topic='view'),
+_EP = f"""WITH {SAMPLES}, {_WINDOWS}, f AS (SELECT s.event_id, s.ts, w.window_id FROM samples s JOIN w ON s.ts BETWEEN w.start_ns - {5 * MIN_NS} AND w.end_ns + {5 * MIN_NS} WHERE s.topic='view'),
 mo AS (SELECT ts, ts AS mts FROM samples WHERE topic='click'), wr AS (SELECT ts, value/10 AS fx FROM samples WHERE topic='error'), tr AS (SELECT ts, recorder AS rec, value AS vv FROM samples WHERE topic='signup'),
 {_nearest_sql('f', 'mo', 'h1', ['mts'], 40 * MIN_NS)}, {_nearest_sql('h1', 'wr', 'h2', ['fx'], 40 * MIN_NS)}, {_nearest_sql('h2', 'tr', 'h3', ['rec', 'vv'], 40 * MIN_NS)}
 SELECT window_id, event_id, CASE WHEN window_id % 2 = 1 THEN 'close' ELSE 'open' END AS prompt, round(CASE WHEN abs(vv) > 1e-12 THEN fx ELSE 0 END, 6)+0.0 AS force_along,
@@ -348,7 +347,7 @@ SELECT window_id, event_id, CASE WHEN window_id % 2 = 1 THEN 'close' ELSE 'open'
 @query("force_episodes", _EP)
 def force_episodes(spark, sf):
     wide = _windows(spark, sf).select(
-        "rig", F.col("window_id").alias("window_index"), (F.col("start_ns") - F.lit(3 * HOUR_NS)).alias("start_ns"), (F.col("end_ns") + F.lit(3 * HOUR_NS)).alias("end_ns")
+        "rig", F.col("window_id").alias("window_index"), (F.col("start_ns") - F.lit(5 * MIN_NS)).alias("start_ns"), (F.col("end_ns") + F.lit(5 * MIN_NS)).alias("end_ns")
     )
     zero = F.lit(0.0)
     frames = rig(topic(spark, sf, "view")).select("rig", "event_id", "ts")
@@ -357,7 +356,7 @@ def force_episodes(spark, sf):
         "rig", "ts", *[zero.alias(n) for n in ("tx", "ty", "tz", "qx", "qy", "qz")], F.lit(1.0).alias("qw"), F.col("value").alias("vx"), *[zero.alias(n) for n in ("vy", "vz", "ox", "oy", "oz")]
     )
     out = load.force_episodes(
-        frames, wide, _motor(spark, sf).drop("event_id", "velocity"), force, track, RIG, frame_tol=40 * MIN_NS, wrench_tol=40 * MIN_NS, pose_tol=40 * MIN_NS, width_ns=6 * HOUR_NS
+        frames, wide, _motor(spark, sf).drop("event_id", "velocity"), force, track, RIG, frame_tol=40 * MIN_NS, wrench_tol=40 * MIN_NS, pose_tol=40 * MIN_NS, width_ns=20 * MIN_NS
     )
     return out.select(F.col("window_index").alias("window_id"), "event_id", "prompt", r6("force_along").alias("force_along"), "keyframe_step")
 

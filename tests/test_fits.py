@@ -144,3 +144,12 @@ def test_calibration_finds_what_the_rows_were_made_with(spark):
     assert best.loc[0, ["smoothing", "gyro", "offset_ns"]].tolist() == [0, True, 0] and best.loc[1, ["smoothing", "gyro", "offset_ns"]].tolist() == [1, False, 7_000_000]
     np.testing.assert_allclose(best[list(fits.INERTIA)].to_numpy(float), [inertia] * 2, atol=1e-6)
     assert (swept.groupby("offset_ns")["n_outside"].min() >= 5).all() and (swept["n"] + swept["n_outside"] == 165).all()
+
+
+def test_every_branch_of_the_offset_cascade(spark):
+    from sensorframe.operators import offsets
+
+    pairs = spark.createDataFrame([("many", q, q + 5) for q in (100, 200, 300)] + [("one", 100, 70)], "k string, device_ts long, qr_ts long")
+    stored = spark.createDataFrame([("many", 1, 2), ("one", 1, 2), ("old", 10, 4), ("never", None, None)], "k string, first_device_ts long, first_qr_ts long")
+    got = {r.k: (r.offset_ns, r.method) for r in offsets.offset_cascade(offsets.robust_offset(pairs, ["k"]), stored, ["k"]).collect()}
+    assert got == {"many": (5, "robust"), "one": (-30, "single"), "old": (-6, "stored"), "never": (None, "manual")}
