@@ -173,6 +173,27 @@ def lowpass(df: DataFrame, s: Series, cols: Sequence[str], rate_hz: float, *, cu
     return _chunk_apply(parts, s, fn, [c + suffix for c in cols]).drop("rn")
 
 
+def _ends(nxt: np.ndarray) -> np.ndarray:
+    """Where each place's path of next places ends, by doubling the step; ``len(nxt)`` stands for no next place."""
+    jump = np.where(nxt < len(nxt), nxt, np.arange(len(nxt)))
+    while True:
+        further = jump[jump]
+        if (further == jump).all():
+            return jump
+        jump = further
+
+
+def _path(nxt: np.ndarray, start: int) -> np.ndarray:
+    """The places of the path from ``start``: each round appends as many as there are, one jump of that many steps from each."""
+    jump, path = np.append(nxt, len(nxt)), np.array([start])
+    while True:
+        more = jump[path]
+        more = more[more < len(nxt)]
+        if not len(more):
+            return path
+        path, jump = np.concatenate([path, more]), jump[jump]
+
+
 def rate_cap(df: DataFrame, s: Series, max_fps: float, rows: int = 200_000) -> DataFrame:
     """P25: keep a row when at least ``1/max_fps`` has passed since the last kept one.
 
@@ -189,10 +210,7 @@ def rate_cap(df: DataFrame, s: Series, max_fps: float, rows: int = 200_000) -> D
     def exits(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rn")
         t, rn = pdf[ts].to_numpy("int64"), pdf["rn"].to_numpy("int64")
-        nxt = np.searchsorted(t, t + step)
-        last = np.empty(len(t), dtype="int64")
-        for i in range(len(t) - 1, -1, -1):
-            last[i] = last[nxt[i]] if nxt[i] < len(t) else t[i]
+        last = t[_ends(np.searchsorted(t, t + step))]
         n = min(int(np.searchsorted(t, t[0] + step)) + 1, len(t))
         out = pd.DataFrame({k: pdf[k].iloc[0] for k in keys}, index=range(n))
         return out.assign(_chunk=pdf["_chunk"].iloc[0], _t=t[:n], _rn=rn[:n], _exit=last[:n])
@@ -212,13 +230,7 @@ def rate_cap(df: DataFrame, s: Series, max_fps: float, rows: int = 200_000) -> D
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rn").reset_index(drop=True)
         t = pdf[ts].to_numpy("int64")
-        nxt = np.searchsorted(t, t + step)
-        i = int(pdf["_start"].iloc[0] - pdf["rn"].iloc[0])
-        kept = []
-        while i < len(t):
-            kept.append(i)
-            i = int(nxt[i])
-        return pdf.loc[kept, names]
+        return pdf.loc[_path(np.searchsorted(t, t + step), int(pdf["_start"].iloc[0] - pdf["rn"].iloc[0])), names]
 
     group = [*s.keys, "_chunk"]
     heads = parts.groupBy(*group).applyInPandas(exits, ends)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sensorframe.queries.registry import HOUR_NS, MIN_NS, SAMPLES, ns, query, r6, table
+from sensorframe.operators.ordered import DAY_NS
+from sensorframe.queries.registry import HOUR_NS, MIN_NS, SAMPLES, ns, query, r6, samples, table
 from sensorframe.session import scratch_path
 from sensorframe.streaming import live
 
@@ -80,9 +81,23 @@ def stream_offsets(spark, sf):
     return out.crossJoin(F.broadcast(last)).where(F.col("batch") == F.col("_b")).select("topic", "n_pairs", "offset_ns")
 
 
-@query("stream_late_rows", f"WITH {SAMPLES} SELECT event_id, ts FROM samples")
+# Arrivals of five days each; every tenth row comes two arrivals late.
+_ARRIVAL_DAYS, _ARRIVALS = 5, 8
+_ARRIVAL = f"CAST(least(greatest((ts - 1704067200000000000) // {_ARRIVAL_DAYS * DAY_NS}, 0), {_ARRIVALS - 3}) + CASE WHEN event_id % 10 = 7 THEN 2 ELSE 0 END AS INTEGER)"
+
+
+@query("stream_late_rows", f"""WITH {SAMPLES}, a AS (SELECT event_id, ts, {_ARRIVAL} AS k FROM samples),
+t AS (SELECT k, max(max(ts)) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM a GROUP BY k)
+SELECT event_id, ts, coalesce(ts < top - {10 * MIN_NS}, false) AS late FROM a JOIN t USING (k)""")
 def stream_late_rows(spark, sf):
-    # One file is one trigger, so nothing is late here; a unit test covers late rows.
-    main, late, marks = (scratch_path(spark, n) for n in ("main", "late", "marks"))
-    live.run_writer(live.split_late(_stream(spark, sf), main, late, marks, 10 * MIN_NS), spark, "late")
-    return spark.read.parquet(main).select("event_id", "ts")
+    """Files arrive one group after the other, each is one trigger; rows of earlier days among them are late and go to their own table."""
+    day = F.floor((F.col("ts") - F.lit(1704067200000000000)) / F.lit(_ARRIVAL_DAYS * DAY_NS))
+    arrival = F.least(F.greatest(day, F.lit(0)), F.lit(_ARRIVALS - 3)) + F.when(F.col("event_id") % 10 == 7, 2).otherwise(0)
+    rows = samples(spark, sf).select("event_id", "ts", arrival.cast("int").alias("k"))
+    inbox, main, late, marks, state = (scratch_path(spark, n) for n in ("inbox", "main", "late", "marks", "late-state"))
+    for k in range(_ARRIVALS):
+        rows.where(F.col("k") == k).drop("k").write.mode("append").parquet(inbox)
+        stream = spark.readStream.schema("event_id bigint, ts bigint").parquet(inbox)
+        live.split_late(stream, main, late, marks, 10 * MIN_NS).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    read = spark.read.schema("event_id bigint, ts bigint")
+    return read.parquet(main).select("event_id", "ts", F.lit(False).alias("late")).union(read.parquet(late).select("event_id", "ts", F.lit(True).alias("late")))
