@@ -9,7 +9,9 @@ is packed by Karmarkar-Karp differencing.
 from __future__ import annotations
 
 import heapq
+import json
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -17,17 +19,27 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sensorframe.llm.alignment import _byte_of
 from sensorframe.llm.byte_bpe import _Words
 from sensorframe.llm.common import arrow_rows, ceil_div, stage
 
 # Windows packed together in one group.
 GROUP_WINDOWS = 256
 MARKS = ".,;:!?*#$%&|"
+# The character that stands for each byte at byte level.
+_LEVEL = {byte: char for char, byte in _byte_of().items()}
 _WORDS: dict[str, "WordIds"] = {}
 
 
 class WordIds:
-    """Token ids of texts whose tokenizer drops white space: each word between white space is encoded once and remembered."""
+    """Token ids of texts whose tokenizer drops white space: each word between white space is encoded once and remembered.
+
+    Words of printable Latin-1 characters are cut by the file's own pattern and their pieces handed to its merges alone, where the file's steps
+    are those of ``STEPS``: of such words nothing but case is normalized. All other words take all steps of the tokenizer.
+    """
+
+    # Kinds of normalizers and pre-tokenizers under which the quick way holds.
+    STEPS = (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"])
 
     # The tokenizer sees no white space in these, Python does.
     ODD = "\x1c\x1d\x1e\x1f"
@@ -41,6 +53,28 @@ class WordIds:
         self.tokenizer.encode_special_tokens = True
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words = _Words(self._word)
+        self.model = self.tokenizer.model
+        self.cut = self._pattern(path)
+
+    def _pattern(self, path: str):
+        """The split pattern's ``findall``, or nothing where the file works by other steps."""
+        import regex
+
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        before, split = (spec.get("normalizer") or {}).get("normalizers", []), (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        if ([s["type"] for s in before], [s["type"] for s in split]) != self.STEPS or spec["model"]["type"] != "BPE" or spec["model"].get("dropout"):
+            return None
+        spaces, cut, level = before[1], split[0], split[1]
+        plain = spaces["pattern"] == {"Regex": "\\s+"} and cut["behavior"] == "Removed" and cut["invert"] and "Regex" in cut["pattern"]
+        if not plain or level["add_prefix_space"] or level["use_regex"]:
+            return None
+        return regex.compile(cut["pattern"]["Regex"]).findall
+
+    def _piece(self, piece: str) -> bytes:
+        if not piece.isascii():
+            piece = piece.encode().decode("latin-1").translate(_LEVEL)
+        return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -50,6 +84,9 @@ class WordIds:
         base = word.rstrip(MARKS)
         if base != word and base and base[-1].lower().isalpha():
             return self.words[base] + self.words[word[len(base):]]
+        if self.cut and word.isprintable() and max(word) <= "\xff":
+            word = word.lower()
+            return self._piece(word) if word.isalpha() else b"".join(map(self._piece, self.cut(word)))
         if word.isascii() and not word.islower() and word != word.lower():
             return self.words[word.lower()]
         return self._whole(word)

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -121,3 +122,18 @@ def test_differencing_keeps_every_item():
         window = packing.fill_windows(sizes, 64)
         assert len(window) == len(sizes)
         assert not len(sizes) or np.bincount(window, sizes).max() <= 64
+
+
+def test_words_by_every_way():
+    """Words of Latin-1 characters, of others, with controls, and a file that works by other steps: ids as the tokenizer gives them."""
+    from tokenizers import Tokenizer
+
+    whole, quick, slow = Tokenizer.from_file(WORDS), packing.WordIds(WORDS), packing.WordIds(WORDS)
+    assert quick.cut
+    slow.cut = None
+    pick = random.Random(11)
+    letters = [chr(c) for c in range(0x1c, 0x180)] + list("'''sstrevmld  \n\t") + ["İ", "ς", "Σ", "́", "中", "😀", " "]
+    texts = ["".join(pick.choice(letters) for _ in range(pick.randint(0, 40))) for _ in range(3000)]
+    for text in [*texts, "don't 'tis l'École STRASSE ß¼² a_b c3p0!!", "a <|endoftext|> b", "\xad\xa0x\x85y"]:
+        want = whole.encode(text, add_special_tokens=False).ids
+        assert quick.encode(text).tolist() == want and slow.encode(text).tolist() == want
