@@ -2,8 +2,10 @@
 
 import gzip
 import json
+import random
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from sensorframe.plans import release
@@ -125,6 +127,46 @@ def test_stems_that_meet(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_stems_by_sets(spark, seed):
+    """Families whose folders want the same stems and each other's numbers, in any order of names, as the folders take them in turn."""
+    pick = random.Random(seed)
+    pool = [f"x_{i}" for i in range(1, 25)] + ["x", "x", "x", "x_2_2", "x_2_3", "x_2_3_2", "x_02", "x_3_4", "y", "y_2", "z_1234567890123456789"]
+    pool += ["x"] * (40 if seed == 2 else 0)
+    rows = []
+    for home in ("m", "n", None):
+        for name in pick.sample(range(10000), 60):
+            want = pick.choice(pool)
+            rows.append((home, f"N{name}" if name % 2 else f"n{name}", want, want[0]))
+    df = spark.createDataFrame(rows, "parent string, name string, _want string, _root string").withColumn("_fold", F.lower("name"))
+    got = {(r.parent, r.name): r.output_stem for r in release._name_by_sets(df, ["parent"]).collect()}
+    want = {}
+    for home in ("m", "n", None):
+        used = set()
+        for name, stem in sorted(((n, w) for h, n, w, _ in rows if h == home), key=lambda r: (r[0].lower(), r[0])):
+            out, i = stem, 2
+            while out in used:
+                out, i = f"{stem}_{i}", i + 1
+            used.add(out)
+            want[home, name] = out
+    assert got == want
+
+
+def test_open_slots_close_in(spark):
+    """Slots that hang on those before them: decided round by round as one after the other."""
+    pick = random.Random(4)
+    rows, want = [], {}
+    for g in range(6):
+        skipped = 0
+        for r in range(10):
+            d = pick.randint(-1, 4) if g % 2 else r // 2 - r % 2
+            rows.append((g, 2 + 2 * r, d, r))
+            want[g, 2 + 2 * r] = skipped <= d
+            skipped += skipped <= d
+    df = spark.createDataFrame(rows, "g int, _i bigint, _d bigint, _r bigint")
+    assert {(r.g, r._i): r._skip for r in release._decide(df, ["g"]).collect()} == want
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("a", 2, 1.0), ("b", 1, 2.0)], "k string, ts long, v double")
     path = str(tmp_path / "t")
