@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sensorframe.functions.wrench import from_log, to_log
 from sensorframe.operators import metrics, selection
 from sensorframe.operators.ordered import DAY_NS, Series
 from sensorframe.queries.registry import HOUR_NS, SAMPLES, ns, query, r6, samples, table
@@ -104,6 +105,12 @@ def class_priors(spark, sf):
     return out.select("label", r6("prior").alias("prior"), "n")
 
 
+@query("log_forces", f"""WITH {SAMPLES} SELECT event_id, round(ln(1 + value), 6)+0.0 AS logged, round(least(greatest(exp(value/20 - 1) - 1, 0), 80), 6)+0.0 AS force FROM samples""")
+def log_forces(spark, sf):
+    out = samples(spark, sf).select("event_id", to_log(F.col("value")).alias("logged"), from_log(F.col("value") / 20 - 1).alias("force"))
+    return out.select("event_id", r6("logged").alias("logged"), r6("force").alias("force"))
+
+
 @query("prior_lookup", """WITH o AS (SELECT lower(trim(o_orderpriority)) AS label, ln(1 + o_totalprice) AS v FROM orders WHERE o_orderstatus = 'F'),
 k AS (SELECT label, avg(v) AS p FROM o WHERE label <> '5-low' GROUP BY label), g AS (SELECT avg(v) AS g FROM o WHERE label <> '5-low')
 SELECT o_orderkey, round(coalesce(p, g), 6)+0.0 AS prior FROM orders LEFT JOIN k ON k.label = lower(trim(o_orderpriority)), g""")

@@ -142,9 +142,12 @@ def release_manifest(spark, sf):
     return manifest_rows(release.artifacts(stage(release.plan(files)), files))
 
 
-@query("catalog_query", """WITH r AS (SELECT 'loc_' || (page_id % 5) AS location, (['gripper','hand','umi','spot','wrist'])[page_id % 5 + 1] AS interaction, (['aria_human_1','iphone_2','umi_gripper','spot','gripper','aria_wrist'])[page_id % 6 + 1] AS recorder, (page_id % 4) || '-' || (page_id % 3) AS idx FROM pages)
-SELECT DISTINCT location, interaction, recorder, idx AS interaction_index FROM r WHERE ((interaction IN ('gripper','hand','umi','spot','wrist') AND recorder LIKE 'iphone_%') OR (interaction, recorder) IN (('gripper','gripper'),('hand','gripper'),('wrist','gripper'),('spot','spot'),('umi','umi_gripper'),('wrist','aria_wrist'))) AND (idx = '1' OR idx LIKE '1%')""")
-def catalog_query(spark, sf):
+# Recorder folders of five locations and which of them are known.
+_TAKES = """r AS (SELECT 'loc_' || (page_id % 5) AS location, (['gripper','hand','umi','spot','wrist'])[page_id % 5 + 1] AS interaction, (['aria_human_1','iphone_2','umi_gripper','spot','gripper','aria_wrist'])[page_id % 6 + 1] AS recorder, (page_id % 4) || '-' || (page_id % 3) AS idx FROM pages),
+k AS (SELECT * FROM r WHERE (interaction IN ('gripper','hand','umi','spot','wrist') AND recorder LIKE 'iphone_%') OR (interaction, recorder) IN (('gripper','gripper'),('hand','gripper'),('wrist','gripper'),('spot','spot'),('umi','umi_gripper'),('wrist','aria_wrist')))"""
+
+
+def _takes(spark, sf):
     def pick(mod, *names):
         return F.get(F.array(*[F.lit(n) for n in names]), (F.col("page_id") % mod).cast("int"))
 
@@ -153,10 +156,21 @@ def catalog_query(spark, sf):
         "/", F.lit("/data"), F.concat(F.lit("loc_"), (F.col("page_id") % 5).cast("string")), pick(5, "gripper", "hand", "umi", "spot", "wrist"),
         pick(6, "aria_human_1", "iphone_2", "umi_gripper", "spot", "gripper", "aria_wrist"), name,
     ).alias("path"))
-    cat = catalog.catalog(catalog.with_levels(files, "/data"))
+    return catalog.with_levels(files, "/data")
+
+
+@query("catalog_query", f"WITH {_TAKES} SELECT DISTINCT location, interaction, recorder, idx AS interaction_index FROM k WHERE idx = '1' OR idx LIKE '1%'")
+def catalog_query(spark, sf):
+    cat = catalog.catalog(_takes(spark, sf))
     return catalog.query_catalog(cat, index="1").select("location", "interaction", "recorder", "interaction_index")
 
 
+@query("container_files", f"WITH {_TAKES} SELECT DISTINCT '/data/' || location || '/' || interaction || '/' || recorder || '/kitchen_1_' || idx || '_take.vrs' AS path FROM k")
+def container_files(spark, sf):
+    files = _takes(spark, sf)
+    return catalog.container_files(files, catalog.recorders(files))
+
+
 @query("dataset_statistics", f"""WITH p AS (SELECT 'loc_' || (event_id % 3) AS location, (['aria_human','aria_wrist','iphone_1','gripper/gripper'])[event_id % 4 + 1] AS f, epoch_us(ts)*1000 AS ts FROM events),
 d AS (SELECT location, f, (max(ts)-min(ts))/1e9 AS s FROM p GROUP BY 1, 2), v AS (SELECT *, CASE f WHEN 'aria_human' THEN 'ego' WHEN 'aria_wrist' THEN 'wrist' WHEN 'iphone_1' THEN 'third_person' ELSE 'gripper' END AS view, CASE f WHEN 'iphone_1' THEN 'iphone' ELSE f END AS module FROM d)
 SELECT location, CASE WHEN grouping(view)=0 THEN 'viewpoint' WHEN grouping(module)=0 THEN 'module' ELSE 'total' END AS level, coalesce(view, module, 'all') AS name, round(sum(s), 2)+0.0 AS seconds FROM v GROUP BY GROUPING SETS ((location), (location, view), (location, module))""")
